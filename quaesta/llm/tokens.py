@@ -2,16 +2,19 @@
 
 ASCII white space always separates this tokenizer's words, so a text's ids are those of
 its space-separated pieces one after the other. Workers keep the ids of pieces they have seen,
-in a cache of bounded size; unseen plain words of a batch are encoded together.
+in a cache of bounded size.
 """
 
 from __future__ import annotations
 
+import sys
+from array import array
+
 import numpy as np
 
 END_ID = 1
 #: Pieces a worker remembers; the cache is emptied when full.
-MAX_PIECES = 700_000
+MAX_PIECES = 1_200_000
 
 
 def default_vocabulary() -> str:
@@ -21,70 +24,57 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte to letter, as byte-level BPE writes them: printable bytes are themselves, the others follow from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+class _Pieces(dict):
+    """Piece -> ids. A word of basic letters goes straight to the BPE model; anything else through the whole tokenizer."""
+
+    def __init__(self, tok):
+        super().__init__()
+        self.tok, self.model, self.letters = tok, tok.model, _byte_letters()
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) >= MAX_PIECES:
+            self.clear()
+        word = piece[:-1] if len(piece) > 1 and piece[-1] in b".,;:" else piece
+        text = word.decode("utf-8", "replace")
+        if word.isalpha() or text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+            if not word.isalpha():
+                word = text.lower().encode()
+            ids = array("H", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))]).tobytes()
+            if len(text.encode()) < len(piece):
+                ids += self[piece[-1:]]
+        else:
+            ids = array("H", self.tok.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+        self[piece] = ids
+        return ids
+
+
 class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.size = self.tok.get_vocab_size()
-        if self.size > 1 << 16:
-            raise ValueError("ids are kept in two bytes")
-        ends = np.zeros(self.size, bool)
-        for token, i in self.tok.get_vocab().items():
-            ends[i] = token.endswith("</w>")
-        self.ends, self.seen = ends, {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u2")
-
-    def _learn(self, pieces: set[bytes]) -> None:
-        """Ids of unseen pieces: words of basic letters in one go, cut after tokens that end a word."""
-        plain, tails = [], []
-        for p in pieces:
-            body = p[:-1] if p[-1:] in b".,;:" else p
-            word = body.decode("utf-8", "replace")
-            if body and word.isalpha() and max(word) < "ɐ":
-                plain.append((body, word))
-                if body is not p and len(body) < len(p):
-                    tails.append((p, body))
-            else:
-                self.seen[p] = self._ids(p.decode("utf-8", "replace")).tobytes()
-        plain = list(dict(plain).items())
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = self._ids(" ".join(w for _, w in part))
-            cuts = np.nonzero(self.ends[ids])[0] + 1
-            if len(cuts) != len(part):  # no such text is known; the slow way is always right
-                for b, w in part:
-                    self.seen[b] = self._ids(w).tobytes()
-                continue
-            raw, at = ids.tobytes(), 0
-            for (b, _), end in zip(part, cuts.tolist(), strict=True):
-                self.seen[b] = raw[2 * at : 2 * end]
-                at = end
-        for p, body in tails:
-            last = p[-1:]
-            if last not in self.seen:
-                self.seen[last] = self._ids(last.decode()).tobytes()
-            self.seen[p] = self.seen[body] + self.seen[last]
+        if self.size > 1 << 16 or array("H").itemsize != 2 or sys.byteorder != "little":
+            raise ValueError("ids are kept in two bytes, the lower first")
+        self.seen = _Pieces(self.tok)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
-        out: list[bytes] = []
-        for i in range(0, len(texts), 256):
-            group = [(t or "").encode("utf-8", "replace") for t in texts[i : i + 256]]
-            pieces = [None if b"<|" in g else g.lower().split() for g in group]
-            need = set().union(*(p for p in pieces if p is not None))
-            unseen = need.difference(self.seen)
-            if unseen:
-                if len(self.seen) + len(unseen) > MAX_PIECES:
-                    self.seen.clear()
-                    unseen = need
-                self._learn(unseen)
-            get = self.seen.__getitem__
-            for g, p in zip(group, pieces, strict=True):
-                # a control string may stand in such a text: the tokenizer itself has to see it whole
-                out.append(self._ids(g.decode("utf-8")).tobytes() if p is None else b"".join(map(get, p)))
+        get, out = self.seen.__getitem__, []
+        for t in texts:
+            raw = (t or "").encode("utf-8", "replace")
+            # a control string may stand in a text: the tokenizer itself has to see it whole
+            if b"<|" in raw:
+                out.append(array("H", self.tok.encode(t, add_special_tokens=False).ids).tobytes())
+            else:
+                out.append(b"".join(map(get, raw.lower().split())))
         return out
 
 
