@@ -10,10 +10,10 @@ probability 5e-8.
 
 Groups of copies stay linear: equal sets are one class; each class first confirms its
 best candidate among the smallest members of its buckets, which joins a group of
-near copies to one component; then buckets are joined with themselves for pairs
-between *different* components only. Where many texts share a bucket and are not
-similar, that last join compares them all (it emits those that pass the estimate), as an exact
-result needs.
+near copies to one component; then buckets are searched for links between *different*
+components only. That search compares members within blocks of a bucket, all that pass
+the estimate on their full sets, and returns a forest of links, so its rows stay linear too; where many texts share a bucket and
+are nearly but not quite similar, its comparisons are quadratic, as an exact result needs.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from .components import connected_components
 
 N_HASH, BANDS, ROWS, BITS = 128, 32, 4, 4
 MAX_WORDS = 1_000_000
+#: Members of a bucket that are compared at once; a larger bucket is cut into chunks, and these are paired.
+CHUNK = 1024
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 1 << 31, N_HASH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, N_HASH, dtype=np.uint32)
@@ -215,26 +217,121 @@ def _links(sig: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataF
     def known(c: str, x: str) -> DataFrame:
         return side.select(*(F.col(o).alias(p) for o, p in zip(("rep", "digest", "n", "planes"), (c, f"d{x}", f"n{x}", f"p{x}"), strict=True)))
 
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate(F.col("pa"), F.col("pb")) >= least)
+    similar = estimate(F.col("pa"), F.col("pb"))
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    # which stars are tried first changes no result, so only likely ones are
     best = (
-        stars.join(known("pivot", "a"), "pivot").join(known("rep", "b"), "rep").where(fits)
-        .groupBy("rep", F.col("db"))
-        .agg(F.max_by(F.struct("pivot", "da"), F.struct(estimate(F.col("pa"), F.col("pb")), -F.col("pivot"))).alias("p"))
+        stars.join(known("pivot", "a"), "pivot").join(known("rep", "b"), "rep").where(sizes & (similar >= (least + 2 * percent / 100) / 3))
+        .groupBy("rep", F.col("db")).agg(F.max_by(F.struct("pivot", "da"), F.struct(similar, -F.col("pivot"))).alias("p"))
         .select(F.col("p.pivot").alias("a"), F.col("rep").alias("b"), F.col("p.da").alias("da"), "db")
     )
-    first = written(confirmed(best, docs, k, percent), "links")
+    first = written(confirmed(written(best, "stars"), docs, k, percent), "links")
     comp = connected_components(first)
-    placed = side.join(comp, F.col("rep") == F.col("id"), "left").select(
-        "rep", "digest", "n", "planes", F.coalesce("component", "rep").alias("comp")
-    )
-    placed = written(placed, "placed")
+    placed = classes.select("rep", "digest", "n", "planes", "bands").join(comp, F.col("rep") == F.col("id"), "left")
+    placed = written(placed.select("rep", "digest", "n", "planes", "bands", F.coalesce("component", "rep").alias("comp")), "placed")
     where = members.join(placed.select("rep", "comp"), "rep")
     mixed = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = written(members.join(mixed, "key", "left_semi").join(placed, "rep"), "open")
-    x, y = (
-        left.select("key", *(F.col(o).alias(p) for o, p in zip(("rep", "digest", "n", "planes", "comp"), (i, f"d{i}", f"n{i}", f"p{i}", f"c{i}"), strict=True)))
-        for i in "ab"
-    )
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits)
-    rest = written(rest.select("a", "b", "da", "db").distinct(), "pairs")
-    return first.unionByName(written(confirmed(rest, docs, k, percent), "links")), classes
+    open_ = written(members.join(mixed, "key", "left_semi").join(placed, "rep"), "open")
+    # of each bucket the members with a likely partner in another component: rows, not pairs
+    x, y = (open_.select("key", *(F.col(o).alias(f"{o[0]}{i}") for o in ("rep", "n", "planes", "comp"))) for i in "ab")
+    y = y.withColumnRenamed("key", "other")
+    likely = x.join(y, (F.col("key") == F.col("other")) & (F.col("ca") != F.col("cb")) & sizes & (similar >= least), "left_semi")
+    likely = written(likely.select("key", F.col("ra").alias("rep")), "likely")
+    reps = written(likely.select("rep").distinct().join(placed, "rep"), "members")
+    full = docs.join(reps.select(F.col("rep").alias("doc_id"), "digest"), "doc_id").select("doc_id", "digest", "text")
+    full = full.mapInArrow(_full_sets(k), "rep long, digest binary, set binary")
+    reps = written(reps.join(full, ["rep", "digest"]), "sets")
+    chunks = likely.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    dealt = likely.join(chunks, "key").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    dealt = dealt.select("key", "rep", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("o"))
+    dealt = dealt.select("key", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "c", "rep")
+    dealt = dealt.join(reps, "rep").select("key", "lo", "hi", "c", "rep", "comp", "planes", "bands", "set")
+    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return first.unionByName(written(dealt.mapInArrow(_compare(percent, least), "a long, b long"), "links")), classes
+
+
+def _full_sets(k: int):
+    """Full sets of the rows whose set has the wanted digest."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in zip(*batch.columns, strict=True):
+                rep, digest, text = (x.as_py() for x in row)
+                s = shingle_set(text, k)
+                if xxhash.xxh3_128_digest(s.tobytes()) == digest:
+                    out.append((rep, digest, s.astype("<u8").tobytes()))
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["rep", "digest", "set"])
+
+    return run
+
+
+def _at_least(x: np.ndarray, sets: list[np.ndarray], percent: int, table: np.ndarray) -> np.ndarray:
+    """Which sets can reach the threshold with ``x``: their intersections counted by hash, so never too low; those left counted exactly."""
+    slot = x & np.uint64(len(table) - 1)
+    table[slot] = True
+    size = np.array([len(y) for y in sets])
+    hits = np.add.reduceat(table[np.concatenate(sets) & np.uint64(len(table) - 1)].astype(np.int32), np.cumsum(size) - size)
+    table[slot] = False
+    hits = np.minimum(hits, np.minimum(size, len(x)))
+    ok = 100 * hits >= percent * (len(x) + size - hits)
+    for i in np.nonzero(ok)[0]:
+        both = np.isin(sets[i], x).sum()
+        ok[i] = 100 * both >= percent * (len(x) + size[i] - both)
+    return ok
+
+
+def _compare(percent: int, least: float):
+    """Links within one bucket, or between two chunks of it, between different components: a forest of them.
+
+    A pair that shares several buckets is compared in the first.
+    """
+    chance = 1.0 / (1 << BITS)
+    most_unequal = N_HASH * (1 - (least * (1 - chance) + chance))
+
+    def group(rows):
+        key, lo, hi = rows[0][:3]
+        planes = np.array([r[6] for r in rows], np.int64).reshape(len(rows), BITS, N_HASH // 64)
+        bands = np.array([r[7] for r in rows], np.int64)
+        sets = [np.frombuffer(r[8], "<u8") for r in rows]
+        size = np.array([len(s) for s in sets])
+        chunk = np.array([r[3] for r in rows])
+        names: dict[int, int] = {}
+        comp = np.array([names.setdefault(r[5], len(names)) for r in rows])
+        root, table = list(range(len(names))), np.zeros(1 << 20, bool)
+
+        def find(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        for i in range(len(rows)):
+            if lo != hi and chunk[i] != lo:
+                continue
+            tops = np.array([find(c) for c in range(len(root))])[comp]
+            j = np.nonzero((chunk == hi if lo != hi else np.arange(len(rows)) > i) & (tops != tops[i]))[0]
+            j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
+            j = j[np.bitwise_count(np.bitwise_or.reduce(planes[j] ^ planes[i], axis=1)).sum(axis=1) <= most_unequal + 1e-9]
+            if len(j):
+                same = bands[j] == bands[i]
+                j = j[bands[i][same.argmax(axis=1)] == key]
+            if not len(j):
+                continue
+            for b in j[_at_least(sets[i], [sets[b] for b in j], percent, table)].tolist():
+                x, y = find(comp[i]), find(comp[b])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    yield rows[i][4], rows[b][4]
+
+    def run(batches):
+        import itertools
+
+        flat = (tuple(x.as_py() for x in r) for b in batches for r in zip(*b.columns, strict=True))
+        for _, rows in itertools.groupby(flat, lambda r: r[:3]):
+            found = list(group(list(rows)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    return run
