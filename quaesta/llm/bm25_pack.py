@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import enter, settle, written
 from .tokens import END_ID, default_vocabulary, load, token_batches
 
 WINDOW = 2048
@@ -152,6 +152,7 @@ def _pack_shards(stats, window: int):
     def run(batches):
         from pyspark import TaskContext
 
+        enter("pack")
         df, n, mean = stats.value
         idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
         part, base, ids, docs, held = TaskContext.get().partitionId() << 36, 0, [], [], 0
@@ -177,6 +178,7 @@ def _pack_shards(stats, window: int):
                     yield from flush()
         if docs:
             yield from flush()
+        settle()
 
     return run
 

@@ -56,6 +56,34 @@ def put_file(uri: str, write: Callable[[object], None]) -> None:
     system.move(part, path)
 
 
+#: Caches that a worker keeps between tasks: operator -> what empties them.
+CACHES: dict[str, Callable[[], None]] = {}
+_OWNER: list[str | None] = [None]
+
+
+def settle() -> None:
+    """Give memory that is free back to the system; a worker lives through many stages."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def enter(name: str) -> None:
+    """To be called where an operator's work in a task starts: caches of other operators are emptied."""
+    if _OWNER[0] != name:
+        _OWNER[0] = name
+        for owner, empty in CACHES.items():
+            if owner != name:
+                empty()
+        settle()
+
+
 def space_words(text: str) -> list[bytes]:
     """A-Z lowered, cut at U+0020 and U+0009-000D; as UTF-8, where both rules are byte rules."""
     return text.encode("utf-8", "surrogatepass").lower().split()

@@ -1,7 +1,7 @@
 """Benchmark decontamination over a positional inverted index (operator 5).
 
 The index is a table of segments in shared storage, written in one pass and without a
-shuffle: each holds the sorted terms of up to four million training tokens and, per
+shuffle: each holds the sorted terms of up to two million training tokens and, per
 term, the positions where it occurs. Documents follow each other with a gap, so a phrase
 never crosses two. A test window is looked up in every segment: windows with a term
 that is absent go at once, the others intersect their lists, each shifted by the
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, written
+from .common import alnum_words, enter, settle, written
 
 WINDOW = 10
 #: Tokens after which a segment ends (at most one document more).
-SEGMENT_TOKENS = 4_000_000
+SEGMENT_TOKENS = 2_000_000
 #: Positions left free between documents; a window and twice a slop are shorter.
 GAP = 64
 #: Bytes of test items in one pass: what a broadcast holds.
@@ -74,6 +74,7 @@ _INDEX_TYPES = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_
 def _build(batches):
     from pyspark import TaskContext
 
+    enter("decontam")
     part, n, seg = TaskContext.get().partitionId(), 0, _Segment()
 
     def out():
@@ -88,6 +89,8 @@ def _build(batches):
                 n, seg = n + 1, _Segment()
     if seg.docs:
         yield out()
+    del seg
+    settle()
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,6 +178,7 @@ def _match(queries, slop: int):
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string())]
 
     def run(batches):
+        enter("decontam")
         q = queries.value
         for batch in batches:
             for row in zip(*batch.columns, strict=True):
@@ -200,6 +204,7 @@ def _match(queries, slop: int):
                     [sorted(items.get(d, ())) for d in range(len(docs))], [sorted(close.get(d, set()) - items.get(d, set())) for d in range(len(docs))],
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names)
+        settle()
 
     return run
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_fs, mix64, put_file, shared_dir, written
+from .common import arrow_fs, enter, mix64, put_file, settle, shared_dir, written
 from .tokens import default_vocabulary, load
 
 SEQ_LEN, PER_SHARD, ROUNDS = 2048, 2048, 6
@@ -57,6 +57,7 @@ def _sequences(path: str, seq_len: int, end_id: int):
     def run(batches):
         from pyspark import TaskContext
 
+        enter("tokens")
         tok, part, n, left, pack = load(path), TaskContext.get().partitionId(), 0, b"", zstandard.ZstdCompressor(level=3)
         end, size = np.array([end_id], "<u2").tobytes(), 2 * seq_len
 
@@ -78,6 +79,7 @@ def _sequences(path: str, seq_len: int, end_id: int):
                     left = left[whole:]
         if left:
             yield out([left])
+        settle()
 
     return run
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import enter, settle, written
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: Labelled rows of each language that the trigram model is fitted on at most.
@@ -67,6 +67,7 @@ def text_scores(spark, model: np.ndarray):
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def score(texts):
+        enter("langid")
         m, out = shared.value, []
         for t in texts:
             g = trigrams(t)

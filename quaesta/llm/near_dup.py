@@ -24,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, space_words, written
+from .common import CACHES, enter, mix64, settle, space_words, written
 from .components import connected_components
 
 N_HASH, BANDS, ROWS, BITS = 128, 32, 4, 4
-MAX_WORDS = 1_000_000
+MAX_WORDS = 250_000
 #: Members of a bucket that are compared at once; a larger bucket is cut into chunks, and these are paired.
 CHUNK = 1024
 _RNG = np.random.default_rng(20240229)
@@ -47,6 +47,7 @@ class _WordHash(dict):
 
 
 _WORDS = _WordHash()
+CACHES["near_dup"] = _WORDS.clear
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -88,6 +89,7 @@ def _planes(minima: np.ndarray) -> np.ndarray:
 
 def _signatures(k: int):
     def run(batches):
+        enter("near_dup")
         for batch in batches:
             n, digest, keys, planes = [], [], [], []
             for text in batch.column(1):
@@ -105,6 +107,7 @@ def _signatures(k: int):
                 ],
                 ["doc_id", "n_shingles", "digest", "bands", "planes"],
             )
+        settle()
 
     return run
 
@@ -139,6 +142,7 @@ def cut(threshold: float) -> float:
 
 def _confirm(k: int, percent: int):
     def run(batches):
+        enter("near_dup")
         last: tuple = (None, None)
         for batch in batches:
             a, b = [], []
@@ -328,6 +332,7 @@ def _compare(percent: int, least: float):
     def run(batches):
         import itertools
 
+        enter("near_dup")
         flat = (tuple(x.as_py() for x in r) for b in batches for r in zip(*b.columns, strict=True))
         for _, rows in itertools.groupby(flat, lambda r: r[:3]):
             found = list(group(list(rows)))

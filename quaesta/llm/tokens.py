@@ -12,9 +12,11 @@ from array import array
 
 import numpy as np
 
+from .common import CACHES, enter, settle
+
 END_ID = 1
 #: Pieces a worker remembers; the cache is emptied when full.
-MAX_PIECES = 1_200_000
+MAX_PIECES = 500_000
 
 
 def default_vocabulary() -> str:
@@ -79,6 +81,7 @@ class WordTokenizer:
 
 
 _LOADED: dict[str, WordTokenizer] = {}
+CACHES["tokens"] = _LOADED.clear
 
 
 def load(path: str) -> WordTokenizer:
@@ -94,11 +97,13 @@ def token_batches(path: str, end_id: int | None):
     end = b"" if end_id is None else np.array([end_id], "<u2").tobytes()
 
     def run(batches):
+        enter("tokens")
         tok = load(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 ids = [x + end for x in tok.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.large_binary()).cast(pa.binary())], ["doc_id", "ids"])
+        settle()
 
     return run
