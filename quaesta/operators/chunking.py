@@ -83,8 +83,8 @@ def chunk_documents(docs: DataFrame, most: int = CHUNK_MAX_CHARACTERS, overlap:
     """
     found = with_sections(docs, F.col("raw_text"), "__s")
     none = F.raise_error(F.concat(F.lit("no Markdown section with content in "), F.col("document_id"))).cast("boolean")
-    found = found.where(F.when(F.size("__s") > 0, F.lit(True)).otherwise(none))
-    found = found.select("*", F.posexplode("__s").alias("__k", "__sec"))
+    found = found.select("*", F.posexplode_outer("__s").alias("__k", "__sec"))
+    found = found.where(F.when(F.col("__sec").isNotNull(), F.lit(True)).otherwise(none))
     text = tx.normalize_whitespace(F.concat(F.array_join("__sec.path", " > "), F.lit("\n\n"), F.col("__sec.content")))
     found = found.withColumn("__parts", splitter(most, overlap)(text))
     # numbers of a document's sections are one running sum over its few sections, so one window on the key suffices

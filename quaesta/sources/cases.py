@@ -13,7 +13,7 @@ KEYS = tuple(x.split()[0] for x in CASE.split(", "))
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """Validated cases with ``ordinal``; anything but a list fails, as do unknown keys."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     listed = raw.select(F.from_json("value", "array<string>").alias("rows"), F.substring(F.trim("value"), 1, 1).alias("first"))
     listed = listed.where(F.when(F.col("first") == "[", F.lit(True)).otherwise(F.raise_error(F.lit("evaluation cases are no list")).cast("boolean")))
     rows = listed.select(F.posexplode("rows").alias("ordinal", "row"))

@@ -56,7 +56,7 @@ def parse_documents(files: DataFrame) -> DataFrame:
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """All ``*.md`` files directly in ``folder``; an empty folder fails."""
     try:
-        files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+        files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
         empty = not files.inputFiles()
     except Exception as e:  # Spark names a missing folder in its own exception
         if "PATH_NOT_FOUND" not in str(e):
