@@ -30,7 +30,8 @@ BLOCK = 4096
 LEAF = 48
 #: Vectors at most that pivots are chosen from, and pivots at most of each dimension; they change work only.
 SAMPLE, PIVOTS = 4000, 16
-EPS = 1e-7
+#: Slack of a distance: more than rounding can make of three of them.
+EPS = 1e-6
 
 
 def unit(rows: np.ndarray) -> np.ndarray:

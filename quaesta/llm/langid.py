@@ -155,5 +155,7 @@ def identify(
     k = len(languages)
     less = [(F.greatest(F.col("__c")[i] - F.col("__p")[i], F.lit(0.0)) + KAPPA * F.col("__d")[i]) / (F.col("__n") - 1 + KAPPA) for i in range(k)]
     post = F.array(*_softmax([F.col("__e")[i] + F.log(less[i]) for i in range(k)]))
-    rows = rows.withColumn("posterior", F.array_max(post)).withColumn("pred_lang", F.element_at(F.array(*map(F.lit, languages)), F.array_position(post, F.col("posterior")).cast("int")))
+    rows = rows.withColumn("posterior", F.array_max(post))
+    place = F.array_position(post, F.col("posterior")).cast("int")
+    rows = rows.withColumn("pred_lang", F.when(F.col("posterior").isNotNull(), F.element_at(F.array(*map(F.lit, languages)), place)))
     return rows.select(*own, "pred_lang", "posterior", F.coalesce(F.col("posterior") >= min_posterior, F.lit(False)).alias("accepted"))
