@@ -296,7 +296,7 @@ def _compare(percent: int, least: float):
 
     def group(rows):
         key, lo, hi = rows[0][:3]
-        planes = np.array([r[6] for r in rows], np.int64).reshape(len(rows), BITS, N_HASH // 64)
+        planes = np.array([r[6] for r in rows], np.int64).view(np.uint64).reshape(len(rows), BITS, N_HASH // 64)
         bands = np.array([r[7] for r in rows], np.int64)
         sets = [np.frombuffer(r[8], "<u8") for r in rows]
         size = np.array([len(s) for s in sets])
