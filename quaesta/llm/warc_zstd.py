@@ -200,7 +200,9 @@ def write_archives(pages: DataFrame, folder: str, **columns: str) -> DataFrame:
     """
     html = F.substring(F.col(columns.get("html_col", "html")).cast("string"), 1, SAMPLE_CHARS)
     sample = [bytes(r[0]) for r in pages.select(F.encode(html, "utf-8")).where(html.isNotNull()).limit(SAMPLE_ROWS).collect()]
-    return written(plan_records(pages, **columns).mapInArrow(_write(folder, train_dictionary(sample)), "archive string, records long"), "manifest")
+    # in one order whatever the joins' fetches did: a retried task cuts its archives where the lost one did
+    records = plan_records(pages, **columns).sortWithinPartitions("digest", "page_id", "url")
+    return written(records.mapInArrow(_write(folder, train_dictionary(sample)), "archive string, records long"), "manifest")
 
 
 def _read(batches):

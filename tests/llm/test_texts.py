@@ -100,6 +100,17 @@ def record(payload: bytes, digest=None):
     return warc_zstd.record_bytes(1, "http://x/", payload, digest or hashlib.sha256(payload).hexdigest(), "response", None)
 
 
+def test_warc_archives_do_not_depend_on_the_order_rows_arrive_in(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc_zstd, "ARCHIVE_BYTES", 4000)
+    # too few samples for a dictionary, which is fitted on the first rows
+    rows = [(i, f"http://h/{i % 5}", "x" * (90 + 300 * (i % 4))) for i in range(14)]
+    found = []
+    for name, order in (("a", rows), ("b", rows[::-1])):
+        warc_zstd.write_archives(spark.createDataFrame(order, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/{name}")
+        found.append({f.name: f.read_bytes() for f in (tmp_path / name).glob("*.warc.zst")})
+    assert found[0] == found[1] and len(found[0]) >= 1
+
+
 def test_warc_reader_takes_dictionaries_and_rejects_damage():
     d = warc_zstd.train_dictionary([f"<html><body>page {i} of the same kind, number {i * 7}</body>".encode() * 3 for i in range(200)])
     payloads = [b"", b"a" * 300_000, bytes(range(256)) * 700]
