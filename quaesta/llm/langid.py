@@ -91,10 +91,10 @@ def _likelihood(value: Column, languages: tuple[str, ...], right: float) -> list
     return [F.when(known, F.when(value == lang, F.lit(float(np.log(right)))).otherwise(F.lit(wrong))).otherwise(F.lit(0.0)) for lang in languages]
 
 
-def _softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    total = sum((F.exp(x - top) for x in logs), F.lit(0.0))
-    return [F.exp(x - top) / total for x in logs]
+def _softmax(logs: Column) -> Column:
+    """The array of posteriors. Each step binds its array once: spelt out for each language, the expression outgrows what Spark compiles."""
+    weights = F.transform(F.array(logs), lambda v: F.transform(v, lambda x: F.exp(x - F.array_max(v))))[0]
+    return F.transform(F.array(weights), lambda w: F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda t, y: t + y)))[0]
 
 
 def evidence(docs: DataFrame, score, text: Column, declared: Column, host: Column, languages: tuple[str, ...]) -> DataFrame:
@@ -102,11 +102,11 @@ def evidence(docs: DataFrame, score, text: Column, declared: Column, host: Colum
     suffix = F.regexp_extract(F.lower(host), r"\.([a-z]+)\.?$", 1)
     named = F.create_map(*(F.lit(x) for kv in SUFFIXES.items() for x in kv))
     lang = F.lower(F.regexp_extract(F.trim(declared), r"^([A-Za-z]{2,3})(?:[-_].*)?$", 1))
-    d, s = _likelihood(lang, languages, DECLARED_RIGHT), _likelihood(F.try_element_at(named, suffix), languages, SUFFIX_RIGHT)
-    out = docs.withColumns({"__t": score(text), "__host": F.lower(F.coalesce(host, F.lit("")))})
+    out = docs.withColumns({"__t": score(text), "__host": F.lower(F.coalesce(host, F.lit(""))), "__l": lang, "__s": F.try_element_at(named, suffix)})
+    d, s = _likelihood(F.col("__l"), languages, DECLARED_RIGHT), _likelihood(F.col("__s"), languages, SUFFIX_RIGHT)
     e = F.array(*(F.col("__t")[i] + d[i] + s[i] for i in range(len(languages))))
-    out = out.withColumn("__e", F.when(F.col("__t").isNotNull(), e)).drop("__t")
-    return out.withColumn("__p", F.when(F.col("__e").isNotNull(), F.array(*_softmax([F.col("__e")[i] for i in range(len(languages))]))))
+    out = out.withColumn("__e", F.when(F.col("__t").isNotNull(), e)).drop("__t", "__l", "__s")
+    return out.withColumn("__p", _softmax(F.col("__e")))
 
 
 def host_priors(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
@@ -154,8 +154,8 @@ def identify(
     rows = evidence(base, *args).select(*own, "__e", "__p", "__host").join(priors, "__host", "left")
     k = len(languages)
     less = [(F.greatest(F.col("__c")[i] - F.col("__p")[i], F.lit(0.0)) + KAPPA * F.col("__d")[i]) / (F.col("__n") - 1 + KAPPA) for i in range(k)]
-    post = F.array(*_softmax([F.col("__e")[i] + F.log(less[i]) for i in range(k)]))
-    rows = rows.withColumn("posterior", F.array_max(post))
-    place = F.array_position(post, F.col("posterior")).cast("int")
+    rows = rows.withColumn("__post", _softmax(F.array(*(F.col("__e")[i] + F.log(less[i]) for i in range(k)))))
+    rows = rows.withColumn("posterior", F.array_max("__post"))
+    place = F.array_position("__post", F.col("posterior")).cast("int")
     rows = rows.withColumn("pred_lang", F.when(F.col("posterior").isNotNull(), F.element_at(F.array(*map(F.lit, languages)), place)))
     return rows.select(*own, "pred_lang", "posterior", F.coalesce(F.col("posterior") >= min_posterior, F.lit(False)).alias("accepted"))
