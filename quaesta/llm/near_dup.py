@@ -12,8 +12,9 @@ Groups of copies stay linear: equal sets are one class; each class first confirm
 best candidate among the smallest members of its buckets, which joins a group of
 near copies to one component; then buckets are searched for links between *different*
 components only. That search compares members within blocks of a bucket, all that pass
-the estimate on their full sets, and returns a forest of links, so its rows stay linear too; where many texts share a bucket and
-are nearly but not quite similar, its comparisons are quadratic, as an exact result needs.
+the estimate on their full sets, and returns a forest of links, so its results stay linear too. Where many texts share a bucket
+and are nearly but not quite similar, its comparisons are quadratic, as an exact result needs, and a member
+of a bucket of c chunks is sent to c tasks, so the rows moved for n of them are n * n / CHUNK.
 """
 
 from __future__ import annotations

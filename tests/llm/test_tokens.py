@@ -120,6 +120,17 @@ def test_language_evidence_is_fused(spark):
     assert langid.identify(df.limit(0), model, F.col("t"), F.col("d"), F.col("h")).count() == 0
 
 
+def test_language_evidence_compiles(spark):
+    """Without the fallback, code that is too long for the JVM is an error."""
+    docs = table(spark, SF, "documents")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        out = langid.identify(docs, langid.train(docs, "text", "lang"), F.col("text"), declared=F.col("lang"), host=F.col("source"))
+        out.write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
 def test_pages_by_markup_and_host(spark):
     pages = table(spark, SF, "pages")
     model = langid.train(table(spark, SF, "documents"), "text", "lang")
