@@ -22,8 +22,6 @@ from .tokens import END_ID, default_vocabulary, load, token_batches
 
 WINDOW = 2048
 SHARD_TOKENS = 2_000_000
-#: Rarest distinct terms of a seed that query the index, as in "more like this" search.
-QUERY_TERMS = 12
 K1, B = 1.2, 0.75
 
 
@@ -67,16 +65,13 @@ class Shard:
         length = np.repeat(np.array([len(d) for d in docs], np.float32), sizes)
         w = idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9)))).astype(np.float32)
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight, self.idf = doc[order], w[order].astype(np.float32), idf
+        self.doc, self.weight = doc[order], w[order].astype(np.float32)
         self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
         self.n = len(docs)
 
     def neighbours(self, seed: int, free: np.ndarray):
-        """Unused documents that share a query term with the seed, best first, ties by place."""
-        terms = self.own[seed]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.idf[terms], QUERY_TERMS)[:QUERY_TERMS]]
-        lists = [slice(self.first[t], self.first[t + 1]) for t in np.sort(terms)]
+        """Unused documents by their BM25 over all distinct terms of the seed, best first, ties by place."""
+        lists = [slice(self.first[t], self.first[t + 1]) for t in self.own[seed]]
         doc = np.concatenate([self.doc[s] for s in lists])
         score = np.bincount(doc, np.concatenate([self.weight[s] for s in lists]), self.n)
         hit = np.nonzero((score > 0) & free)[0]

@@ -68,6 +68,29 @@ def test_packing_prefers_like_documents():
     assert [d for s, d, *_ in rows if s == 0] == [0, 2] and [d for s, d, *_ in rows if s == 1] == [1, 3]
 
 
+def bm25_brute(docs, seed, idf, mean):
+    """Score of each document for all distinct terms of the seed."""
+    k1, b, scores = bm25_pack.K1, bm25_pack.B, []
+    for d in docs:
+        tf = {t: int((d == t).sum()) for t in set(docs[seed].tolist())}
+        scores.append(sum(float(idf[t]) * n * (k1 + 1) / (n + k1 * (1 - b + b * len(d) / mean)) for t, n in tf.items() if n))
+    return np.array(scores)
+
+
+def test_neighbours_are_scored_by_all_terms_of_the_seed():
+    rng = np.random.default_rng(5)
+    docs = [(rng.random(rng.integers(60, 120)) ** 2 * 200).astype("<u2") for _ in range(60)]
+    df = np.zeros(200)
+    for d in docs:
+        df[np.unique(d)] += 1
+    idf, mean = np.log1p((60 - df + 0.5) / (df + 0.5)).astype(np.float32), float(np.mean([len(d) for d in docs]))
+    index, free = bm25_pack.Shard(docs, idf, mean), np.ones(60, bool)
+    for seed in range(60):
+        got, want = index.neighbours(seed, free), bm25_brute(docs, seed, idf, mean)
+        assert len(np.unique(docs[seed])) > 12 and len(got) == (want > 0).sum()
+        assert (np.diff(want[got]) < 1e-3).all()
+
+
 def test_feistel_is_a_keyed_permutation():
     for n in (1, 2, 3, 5, 64, 1000, 4097):
         x = feistel_order.permute(np.arange(n), n, 7)
