@@ -1,13 +1,15 @@
 """Lexical retrieval packing over a sharded BM25 index (operator 6).
 
 One pass writes the token ids of all rows to shared storage, one grouped count over them
-gives document frequencies (one row per vocabulary id, so bounded). Then each shard,
-a run of at most two million ids from that table, builds its inverted index and packs
-on its own, with corpus-wide statistics: full windows of long documents go out as they
-are; every remainder in turn seeds a sequence, its best unused neighbours by BM25 fill
-it, and the one that no longer fits is cut, its rest staying unused. Where a shard ends,
-the last sequence is cut into lengths that are powers of two, which need no padding. No
-text is moved between tasks after the first pass.
+gives document frequencies (one row per vocabulary id, so bounded), one pass writes the
+inverted index in shards of some two million ids, with corpus-wide statistics. Full windows
+of long documents go out as they are; every remainder in turn seeds a sequence, and its best
+unused neighbours by BM25 over the whole corpus fill it: blocks of seeds query all shards,
+whose best are merged. The neighbour that no longer fits is cut, its rest staying unused. A
+seed whose merged neighbours were all used by others of its block waits for a later block,
+so every sequence holds the best documents unused at its turn. At the end the last sequence
+is cut into lengths that are powers of two, which need no padding. The driver keeps three
+numbers for each row; texts are moved once, to meet the places of their pieces.
 """
 
 from __future__ import annotations
@@ -17,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import enter, settle, written
+from .common import enter, settle, shared_dir, written
 from .tokens import END_ID, default_vocabulary, load, token_batches
 
 WINDOW = 2048
 SHARD_TOKENS = 2_000_000
 K1, B = 1.2, 0.75
+#: Seeds that query the index at once, at most; the fewer there are, the more neighbours each gets.
+BLOCK, LEAST_BLOCK, BLOCK_WINDOWS = 4096, 64, 1 << 16
+#: Pieces the driver holds before it writes their places.
+HELD_PIECES = 500_000
 
 
 def _count_terms(size: int):
@@ -66,65 +72,110 @@ class Shard:
         w = idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9)))).astype(np.float32)
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], w[order].astype(np.float32)
-        self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self.first = np.searchsorted(term[order], np.arange(len(idf) + 1)).astype(np.int32)
         self.n = len(docs)
 
+    @classmethod
+    def of(cls, n: int, first: bytes, doc: bytes, weight: bytes) -> Shard:
+        """A shard as it was written; it has no terms by document."""
+        self = cls.__new__(cls)
+        self.n, self.first, self.doc, self.weight = n, np.frombuffer(first, "<i4"), np.frombuffer(doc, "<i4"), np.frombuffer(weight, "<f4")
+        return self
+
+    def scores(self, terms: np.ndarray) -> np.ndarray:
+        lists = [slice(self.first[t], self.first[t + 1]) for t in terms]
+        doc = np.concatenate([self.doc[s] for s in lists])
+        return np.bincount(doc, np.concatenate([self.weight[s] for s in lists]), self.n)
+
     def neighbours(self, seed: int, free: np.ndarray):
         """Unused documents by their BM25 over all distinct terms of the seed, best first, ties by place."""
-        lists = [slice(self.first[t], self.first[t + 1]) for t in self.own[seed]]
-        doc = np.concatenate([self.doc[s] for s in lists])
-        score = np.bincount(doc, np.concatenate([self.weight[s] for s in lists]), self.n)
+        score = self.scores(self.own[seed])
         hit = np.nonzero((score > 0) & free)[0]
         return hit[np.argsort(-score[hit], kind="stable")] if len(hit) else hit
 
 
-def pack(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW):
-    """Yield ``(sequence, doc, start, length, offset)`` for the documents of one shard."""
-    sizes = np.array([len(d) for d in docs], np.int64)
-    at = sizes // window * window  # where each document's unused rest starts
-    seq = 0
-    for d in np.nonzero(at)[0]:
-        for start in range(0, int(at[d]), window):
-            yield seq, int(d), start, window, 0
-            seq += 1
-    rest = sizes - at
-    free = rest > 0
-    if not free.any():
-        return
-    index, order = Shard(docs, idf, mean), np.nonzero(free)[0]
-    for seed in order:
-        while free[seed]:
-            free[seed] = False
-            chosen, room = [(int(seed), int(rest[seed]))], window - int(rest[seed])
-            cut = None
-            for d in index.neighbours(seed, free) if room else ():
+def best(place: np.ndarray, score: np.ndarray, rest: np.ndarray, need: int):
+    """The first candidates, by score and place, that hold ``need`` ids together; all where they hold fewer."""
+    m = 128
+    while m < len(place):
+        least = np.partition(score, len(score) - m)[len(score) - m]
+        at = np.nonzero(score >= least)[0]
+        if rest[place[at]].sum(dtype=np.int64) >= need:
+            place, score = place[at], score[at]
+            break
+        m *= 4
+    at = np.lexsort((place, -score))
+    place, score = place[at], score[at]
+    k = int(np.searchsorted(np.cumsum(rest[place], dtype=np.int64), need)) + 1
+    return place[:k], score[:k]
+
+
+class Packing:
+    """Places of all pieces, made on the driver from the neighbours of blocks of seeds."""
+
+    def __init__(self, sizes: np.ndarray, window: int):
+        self.window, self.sizes = window, sizes
+        self.at = sizes // window * window  # where each document's unused rest starts
+        self.rest = (sizes - self.at).astype(np.int32)
+        self.seq, self.next = int((sizes // window).sum()), 0  # full windows are numbered first
+
+    def full_windows(self):
+        seq = 0
+        for d in np.nonzero(self.at)[0]:
+            for start in range(0, int(self.at[d]), self.window):
+                yield seq, int(d), start, self.window, 0
+                seq += 1
+
+    def block(self) -> np.ndarray:
+        """The next seeds; few enough that most of their neighbours stay unused meanwhile."""
+        free = np.nonzero(self.rest[self.next :])[0] + self.next
+        if len(free):
+            self.next = int(free[0])
+        return free[: max(LEAST_BLOCK, min(BLOCK, len(free) // 8))]
+
+    def fill(self, seeds, lists, need: int):
+        """Yield ``(sequence, doc, start, length, offset)`` for the seeds of a block, each with its best candidates."""
+        rest, held = self.rest, [int(self.rest[found].sum(dtype=np.int64)) for found in lists]
+        for seed, found, ids in zip(seeds, lists, held, strict=True):
+            if not rest[seed]:
+                continue
+            chosen, room = [(int(seed), int(rest[seed]))], self.window - int(rest[seed])
+            for d in found:
                 if not room:
                     break
-                if rest[d] <= room:
-                    chosen.append((int(d), int(rest[d])))
-                    room -= int(rest[d])
-                elif cut is None:
-                    cut = int(d)
-            if room and cut is not None:
-                chosen.append((cut, room))
-                room = 0
+                if rest[d] and d != seed:
+                    size = min(room, int(rest[d]))
+                    chosen.append((int(d), size))
+                    room -= size
+            if room and ids >= need:
+                continue  # there are more neighbours than were asked for
             taken = {d for d, _ in chosen}
-            for d in np.nonzero(free)[0] if room else ():
+            for d in np.nonzero(rest)[0] if room else ():
                 if not room:
                     break
-                if d not in taken:
+                if int(d) not in taken:
                     size = min(room, int(rest[d]))
                     chosen.append((int(d), size))
                     room -= size
             if room:  # nothing is left to fill with
-                yield from _tail(seq, [d for d, _ in chosen], at, rest, window)
+                yield from _tail(self.seq, [d for d, _ in chosen], self.at, rest, self.window)
                 return
             offset = 0
             for d, size in chosen:
-                yield seq, d, int(at[d]), size, offset
-                at[d], rest[d], offset = at[d] + size, rest[d] - size, offset + size
-                free[d] = rest[d] > 0
-            seq += 1
+                yield self.seq, d, int(self.at[d]), size, offset
+                self.at[d] += size
+                rest[d] -= size
+                offset += size
+            self.seq += 1
+
+
+def pack(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW):
+    """Yield ``(sequence, doc, start, length, offset)`` for documents that fit in one index, one seed after the other."""
+    p = Packing(np.array([len(d) for d in docs], np.int64), window)
+    yield from p.full_windows()
+    index = Shard(docs, idf, mean) if docs else None
+    while len(seeds := p.block()):
+        yield from p.fill(seeds[:1], [index.neighbours(seeds[0], p.rest > 0)], 1 << 62)
 
 
 def _tail(seq: int, docs: list[int], at, rest, window: int):
@@ -141,43 +192,118 @@ def _tail(seq: int, docs: list[int], at, rest, window: int):
 
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+PLACES = ("sequence_id", "place", "start", "length", "offset")
 
 
-def _pack_shards(stats, window: int):
-    def run(batches):
-        from pyspark import TaskContext
+def _places(starts, row):
+    """Dense places of rows numbered by ``monotonically_increasing_id``."""
+    part, count = starts
+    return count[np.searchsorted(part, row >> 33)] + (row & ((1 << 33) - 1))
+
 
+def _build(stats):
+    def run(batches):
         enter("pack")
         df, n, mean = stats.value
         idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        part, base, ids, docs, held = TaskContext.get().partitionId() << 36, 0, [], [], 0
+        rows, docs, held = [], [], 0
 
         def flush():
-            nonlocal base, ids, docs, held
-            rows, used = [], 0
-            for seq, d, start, size, offset in pack(docs, idf, mean, window):
-                piece = docs[d][start : start + size].astype("<u4").tobytes()
-                rows.append((ids[d], start, size, piece, len(docs[d]), part + base + seq, offset))
-                used = max(used, seq + 1)
-            base, ids, docs, held = base + used, [], [], 0
-            for i in range(0, len(rows), 2000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.binary() if j == 3 else pa.int64()) for j, c in enumerate(zip(*rows[i : i + 2000], strict=True))], [x.split()[0] for x in PIECES.split(", ")]
-                )
+            x = Shard(docs, idf, mean)
+            parts = (np.array(rows, "<i8"), x.first.astype("<i4"), x.doc.astype("<i4"), x.weight.astype("<f4"))
+            return pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], ["rows", "first", "doc", "weight"])
 
         for batch in batches:
-            for i, x in zip(batch.column(0), batch.column(1), strict=True):
-                ids.append(i.as_py()), docs.append(np.frombuffer(x.as_py(), "<u2"))
+            for r, x in zip(batch.column(0), batch.column(1), strict=True):
+                rows.append(r.as_py()), docs.append(np.frombuffer(x.as_py(), "<u2"))
                 held += len(docs[-1])
                 if held >= SHARD_TOKENS:
-                    yield from flush()
+                    yield flush()
+                    rows, docs, held = [], [], 0
         if docs:
-            yield from flush()
+            yield flush()
+        settle()
+
+    return run
+
+
+def _search(block, starts, need: int):
+    """For each seed the task's best unused documents, as far as ``need`` ids."""
+
+    def run(batches):
+        enter("pack")
+        terms, seeds, rest = block.value
+        found = [(np.empty(0, np.int64), np.empty(0)) for _ in seeds]
+        full = np.zeros(len(seeds))  # no worse score can enter
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows, first, doc, weight = (batch.column(j)[i].as_py() for j in range(4))
+                place = _places(starts, np.frombuffer(rows, "<i8"))
+                free = rest[place] > 0
+                if not free.any():
+                    continue
+                index = Shard.of(len(place), first, doc, weight)
+                for s, t in enumerate(terms):
+                    score = index.scores(t)
+                    hit = np.nonzero((score > 0) & (score >= full[s]) & free)[0]
+                    hit = hit[place[hit] != seeds[s]]
+                    if len(hit):
+                        p, v = best(np.concatenate([found[s][0], place[hit]]), np.concatenate([found[s][1], score[hit]]), rest, need)
+                        found[s] = p, v
+                        if rest[p].sum(dtype=np.int64) >= need:
+                            full[s] = v[-1]
+        for at in range(0, len(seeds), 256):
+            part = found[at : at + 256]
+            n = np.repeat(np.arange(at, at + len(part)), [len(p) for p, _ in part])
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(np.concatenate([p for p, _ in part])), pa.array(np.concatenate([v for _, v in part]))], ["seed", "place", "score"])
         settle()
 
     return run
 
 
+def _neighbours(tokens: DataFrame, index: DataFrame, starts, numbers: np.ndarray, seeds: np.ndarray, rest: np.ndarray, need: int) -> list[np.ndarray]:
+    """For each seed its best unused documents of the whole corpus, as far as ``need`` ids."""
+    from pyspark.sql import Window
+
+    spark = tokens.sparkSession
+    own = numbers[seeds]
+    # the numbers of a block are near each other: most files are passed over
+    between = tokens.where(F.col("row").between(int(own[0]), int(own[-1]))).select("row", "ids")
+    wanted = spark.sparkContext.broadcast(own)
+
+    def distinct(batches):
+        for batch in batches:
+            keep = np.nonzero(np.isin(batch.column(0).to_numpy(), wanted.value))[0]
+            part = batch.take(pa.array(keep))
+            ids = [np.unique(np.frombuffer(x.as_py(), "<u2")).tobytes() for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["row", "terms"])
+
+    terms = {r["row"]: np.frombuffer(bytes(r["terms"]), "<u2") for r in between.mapInArrow(distinct, "row long, terms binary").collect()}
+    block = spark.sparkContext.broadcast(([terms[int(r)] for r in own], seeds, rest.astype(np.int32)))
+    found = index.mapInArrow(_search(block, starts, need), "seed long, place long, score double")
+    of_seed = found.groupBy("seed").agg(F.collect_list("place").alias("p"), F.collect_list("score").alias("v"))
+
+    def merge(batches):
+        for batch in batches:
+            lists = [best(np.array(p.as_py(), np.int64), np.array(v.as_py()), block.value[2], need)[0] for p, v in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype("<i8").tobytes() for x in lists], pa.binary())], ["seed", "places"])
+
+    out = [np.empty(0, np.int64)] * len(seeds)
+    for r in of_seed.mapInArrow(merge, "seed long, places binary").collect():
+        out[r["seed"]] = np.frombuffer(bytes(r["places"]), "<i8")
+    block.destroy(), wanted.destroy()
+    return out
+
+
+def _cut(batches):
+    """Rows with the places of their pieces to pieces."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            doc, ids, pieces = batch.column(0)[i].as_py(), np.frombuffer(batch.column(1)[i].as_py(), "<u2"), batch.column(2)[i].as_py()
+            rows = [(doc, p["start"], p["length"], ids[p["start"] : p["start"] + p["length"]].astype("<u4").tobytes(), len(ids), p["sequence_id"], p["offset"]) for p in pieces]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if j == 3 else pa.int64()) for j, c in enumerate(zip(*rows, strict=True))], [x.split()[0] for x in PIECES.split(", ")])
+
+
 def pack_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID
 ) -> DataFrame:
@@ -187,8 +313,39 @@ def pack_documents(
     text is its end id. Rows with a null or repeated id are packed each on their own;
     other columns are ignored; an empty table gives no rows.
     """
+    spark = docs.sparkSession
     path = vocabulary or default_vocabulary()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tokens = written(rows.mapInArrow(token_batches(path, end_id), "doc_id long, ids binary"), "tokens")
-    stats = docs.sparkSession.sparkContext.broadcast(statistics(tokens, path))  # one number for each vocabulary id
-    return tokens.mapInArrow(_pack_shards(stats, window), PIECES)
+    tokens = rows.mapInArrow(token_batches(path, end_id), "doc_id long, ids binary").withColumn("row", F.monotonically_increasing_id())
+    tokens = written(tokens, "tokens")
+    stats = spark.sparkContext.broadcast(statistics(tokens, path))  # one number for each vocabulary id
+    index = written(tokens.select("row", "ids").mapInArrow(_build(stats), "rows binary, first binary, doc binary, weight binary"), "index")
+    known = tokens.select("row", (F.octet_length("ids") / 2).cast("int").alias("n")).toArrow()
+    numbers, sizes = known["row"].to_numpy(), known["n"].to_numpy().astype(np.int64)
+    order = np.argsort(numbers)
+    numbers, sizes = numbers[order], sizes[order]
+    starts = np.unique(numbers >> 33, return_index=True)
+
+    places, folder = [], f"{shared_dir(spark)}/places"
+
+    def keep(pieces) -> None:
+        x = np.array(list(pieces), np.int64).reshape(-1, 5)
+        x[:, 1] = numbers[x[:, 1]]
+        places.append(x)
+
+    def put() -> None:
+        x = np.concatenate(places)
+        places.clear()
+        spark.createDataFrame(pa.table({c: x[:, i] for i, c in enumerate(PLACES)}), "sequence_id long, place long, start long, length long, offset long").write.mode("append").parquet(folder)
+
+    p = Packing(sizes, window)
+    keep(p.full_windows())
+    while len(seeds := p.block()):
+        need = window * max(1, BLOCK_WINDOWS // len(seeds))
+        keep(p.fill(seeds, _neighbours(tokens, index, starts, numbers, seeds, p.rest, need), need))
+        if sum(map(len, places)) >= HELD_PIECES:
+            put()
+    put()
+    pieces = spark.read.schema("sequence_id long, place long, start long, length long, offset long").parquet(folder)
+    of_row = pieces.groupBy(F.col("place").alias("row")).agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
+    return tokens.join(of_row, "row").select("doc_id", "ids", "pieces").mapInArrow(_cut, PIECES)

@@ -91,6 +91,26 @@ def test_neighbours_are_scored_by_all_terms_of_the_seed():
         assert (np.diff(want[got]) < 1e-3).all()
 
 
+def test_packing_finds_neighbours_in_all_shards(spark, monkeypatch):
+    """Near copies far apart, in other partitions and shards, share a sequence; the shards do not change the result."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    texts = [" ".join(rng.choice(vocab[20 * k : 20 * k + 20]) for _ in range(150)) for k in range(20)]
+    df = spark.createDataFrame([(i, texts[i % 20]) for i in range(40)], "doc_id long, text string").repartitionByRange(5, "doc_id")
+    window = len(tokens.load(tokens.default_vocabulary()).encode([texts[0]])[0])  # two texts: an id has two bytes
+    found = []
+    for shard_tokens in (300, 2_000_000):
+        monkeypatch.setattr(bm25_pack, "SHARD_TOKENS", shard_tokens)
+        found.append(sorted(tuple(r) for r in bm25_pack.pack_documents(df, window=window).select("doc_id", "start", "length", "sequence_id", "offset").collect()))
+    assert found[0] == found[1]
+    seqs = {}
+    for d, start, _, seq, offset in found[0]:
+        seqs.setdefault(seq, []).append((offset, d, start))
+    whole = [sorted(v) for v in seqs.values()]
+    pairs = [v for v in whole if len(v) > 1 and v[0][2] == v[1][2] == 0]
+    assert len(pairs) >= 5 and sum(v[0][1] % 20 == v[1][1] % 20 for v in pairs) >= 0.8 * len(pairs)
+
+
 def test_feistel_is_a_keyed_permutation():
     for n in (1, 2, 3, 5, 64, 1000, 4097):
         x = feistel_order.permute(np.arange(n), n, 7)
