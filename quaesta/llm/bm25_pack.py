@@ -1,184 +1,221 @@
 """Lexical retrieval packing over a sharded BM25 index (operator 6).
 
-One pass writes the token ids of all rows to shared storage, one grouped count over them
-gives document frequencies (one row per vocabulary id, so bounded), one pass writes the
-inverted index in shards of some two million ids, with corpus-wide statistics. Full windows
-of long documents go out as they are; every remainder in turn seeds a sequence, and its best
-unused neighbours by BM25 over the whole corpus fill it: blocks of seeds query all shards,
-whose best are merged. The neighbour that no longer fits is cut, its rest staying unused. A
-seed whose merged neighbours were all used by others of its block waits for a later block,
-so every sequence holds the best documents unused at its turn. At the end the last sequence
-is cut into lengths that are powers of two, which need no padding. The driver keeps three
-numbers for each row; texts are moved once, to meet the places of their pieces.
+Documents are dealt to the shards of the index by content. A 64-bit key holds a document's cell (spherical
+k-means over projected idf vectors) and its two winners of an idf-weighted minwise race over its
+ids; cells and the race's weights are fitted on a bounded sample. One pass writes the token ids and keys of all rows
+to shared storage and counts document frequencies beside; rows are partitioned by ranges of the key,
+and each task cuts its sorted rows into shards of some million ids. So documents of one topic and language stand in neighbouring shards, copies in
+one, at any size of the corpus, and no row is held by the driver. A shard is an inverted
+index with corpus-wide statistics: full windows of long documents go out as they are,
+every remainder in turn seeds a sequence, and its best unused neighbours of the shard, by BM25 over all
+distinct terms of the seed, fill the window. The neighbour that no longer fits is cut, its rest staying
+unused. At the end of a shard the last sequence is cut into lengths that are powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import enter, settle, shared_dir, written
+from .common import enter, mix64, put_file, settle, shared_dir, written
 from .tokens import END_ID, default_vocabulary, load, token_batches
 
 WINDOW = 2048
-SHARD_TOKENS = 2_000_000
+#: Ids and documents that close a shard; a shard is what a task holds.
+SHARD_TOKENS, SHARD_DOCS = 1_000_000, 1 << 16
+#: Ids of a task, and tasks at most: beyond, a task packs more shards, one after the other.
+PART_TOKENS, MAX_PARTS = 4_000_000, 1 << 14
+#: Documents that cells and race are fitted on at most; every document is dealt by them.
+SAMPLE, CELLS, DIM = 4096, 16, 24
+#: What is cut off a key for its range: 16 * 4096 ranges at most.
+RANGE_SHIFT = 44
 K1, B = 1.2, 0.75
-#: Seeds that query the index at once, at most; the fewer there are, the more neighbours each gets.
-BLOCK, LEAST_BLOCK, BLOCK_WINDOWS = 4096, 64, 1 << 16
-#: Pieces the driver holds before it writes their places.
-HELD_PIECES = 500_000
-
-
-def _count_terms(size: int):
-    def run(batches):
-        df, docs, tokens = np.zeros(size, np.int64), 0, 0
-        for batch in batches:
-            for x in batch.column(0):
-                t = np.frombuffer(x.as_buffer(), "<u2") if x.is_valid else np.empty(0, "<u2")
-                df[np.unique(t)] += 1
-                docs, tokens = docs + 1, tokens + len(t)
-        at = np.nonzero(df)[0]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([at, [-1, -2]]), pa.int64()), pa.array(np.concatenate([df[at], [docs, tokens]]), pa.int64())], ["term", "n"]
-        )
-
-    return run
-
-
-def statistics(tokens: DataFrame, vocabulary: str) -> tuple[np.ndarray, int, float]:
-    """Document frequency per id, rows, mean length, over all rows."""
-    size = load(vocabulary).size
-    df, n = np.zeros(size, np.int64), {-1: 0, -2: 0}
-    for r in tokens.select("ids").mapInArrow(_count_terms(size), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        if r["term"] < 0:
-            n[r["term"]] = r["n"]
-        else:
-            df[r["term"]] = r["n"]
-    return df, n[-1], n[-2] / max(1, n[-1])
+#: Seeds whose scores over frequent terms are one matrix product, and numbers of a matrix at most.
+BLOCK, MATRIX = 16, 1 << 23
+
+
+def distinct(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The different ids, each once, unsorted; ``at`` is scratch space of the vocabulary's size."""
+    n = np.arange(len(ids), dtype=np.int32)
+    at[ids] = n
+    return ids[at[ids] == n]
+
+
+def inverse_frequency(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+
+class Dealer:
+    """Keys of documents: what is near by content is near by key."""
+
+    def __init__(self, idf: np.ndarray):
+        rng, size = np.random.default_rng(20240229), len(idf)
+        self.axes = (rng.standard_normal((size, DIM)) * idf[:, None]).astype(np.float32)
+        # an exponential race with weights: two documents share its winner as often as their weighted sets overlap
+        self.race = (rng.exponential(size=size) / np.maximum(idf, 1e-6) ** 2).astype(np.float32)
+        self.name = (mix64(np.arange(1, size + 1)) >> np.uint64(36)).astype(np.int64)
+        self.centres = np.zeros((1, DIM), np.float32)
+
+    def features(self, terms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vectors of documents, given by their different ids, and the names of their races' two winners."""
+        n = len(terms)
+        size = np.array([len(t) for t in terms], np.int64)
+        vectors, winners = np.zeros((n, DIM), np.float32), np.zeros(n, np.int64)
+        some = np.nonzero(size)[0]
+        if len(some):
+            t, size = np.concatenate(terms), size[some]
+            start = np.cumsum(size) - size
+            v = np.add.reduceat(self.axes[t], start)
+            vectors[some] = v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-9)
+            race, name = self.race[t], []
+            for _ in range(2):
+                best = np.repeat(np.minimum.reduceat(race, start), size)
+                at = np.maximum.reduceat(np.where(race == best, np.arange(len(t)), -1), start)
+                name.append(self.name[t[at]])
+                race[at] = np.inf
+            winners[some] = name[0] << 28 | name[1]
+        return vectors, winners
+
+    def fit(self, vectors: np.ndarray) -> None:
+        """Centres by spherical k-means from farthest-first starts."""
+        if not len(vectors):
+            return
+        x, chosen = vectors.astype(np.float32), [0]
+        near = x @ x[0]
+        while len(chosen) < min(CELLS, len(x)):
+            chosen.append(int(near.argmin()))
+            near = np.maximum(near, x @ x[chosen[-1]])
+        c = x[chosen]
+        for _ in range(8):
+            cell = (x @ c.T).argmax(axis=1)
+            total = np.zeros_like(c)
+            np.add.at(total, cell, x)
+            length = np.sqrt((total * total).sum(axis=1, keepdims=True))
+            c = np.where(length > 1e-9, total / np.maximum(length, 1e-9), c)
+        # cells one after the other by likeness, so that a shard of several cells holds similar ones
+        order, left = [0], list(range(1, len(c)))
+        while left:
+            left.sort(key=lambda i: float(c[i] @ c[order[-1]]))
+            order.append(left.pop())
+        self.centres = c[order]
+
+    def keys(self, vectors: np.ndarray, winners: np.ndarray) -> np.ndarray:
+        cell = (vectors @ self.centres.T).argmax(axis=1).astype(np.int64)
+        return cell << 56 | winners
 
 
 class Shard:
-    """Inverted index of some documents: per term the documents and their BM25 weights."""
+    """Inverted index of some documents: per term the documents and their BM25 weights. Terms that many documents hold are rows of a matrix."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        own = [np.unique(d, return_counts=True) for d in docs]
-        self.own = [t for t, _ in own]
-        sizes = np.array([len(t) for t in self.own])
-        term, tf = (np.concatenate([o[i] for o in own]) for i in (0, 1))
-        doc = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
-        length = np.repeat(np.array([len(d) for d in docs], np.float32), sizes)
-        w = idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9)))).astype(np.float32)
+        n, size = len(docs), len(idf)
+        self.n, at = n, np.empty(size, np.int32)
+        lengths = np.array([len(d) for d in docs], np.int64)
+        code = np.repeat(np.arange(n, dtype=np.uint32), lengths) << np.uint32(16) | np.concatenate(docs)
+        code.sort()
+        first = np.nonzero(np.concatenate([[True], code[1:] != code[:-1]]))[0]
+        tf = np.diff(np.append(first, len(code))).astype(np.float32)
+        doc, term = (code[first] >> np.uint32(16)).astype(np.int32), (code[first] & np.uint32(0xFFFF)).astype(np.int32)
+        self.own = np.split(term, np.cumsum(np.bincount(doc, minlength=n))[:-1])
+        norm = (K1 * (1 - B + B * lengths / max(mean, 1e-9))).astype(np.float32)
+        weight = idf[term] * (tf * np.float32(K1 + 1) / (tf + norm[doc]))
+        df = np.bincount(term, minlength=size)
+        often = np.argsort(-df, kind="stable")[: max(1, MATRIX // max(1, n))]
+        often = often[df[often] > n / 32]
+        self.row = np.full(size, -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        dense = self.row[term] >= 0
+        self.dense = np.zeros((len(often), n), np.float32)
+        self.dense[self.row[term[dense]], doc[dense]] = weight[dense]
+        doc, term, weight = doc[~dense], term[~dense], weight[~dense]
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], w[order].astype(np.float32)
-        self.first = np.searchsorted(term[order], np.arange(len(idf) + 1)).astype(np.int32)
-        self.n = len(docs)
-
-    @classmethod
-    def of(cls, n: int, first: bytes, doc: bytes, weight: bytes) -> Shard:
-        """A shard as it was written; it has no terms by document."""
-        self = cls.__new__(cls)
-        self.n, self.first, self.doc, self.weight = n, np.frombuffer(first, "<i4"), np.frombuffer(doc, "<i4"), np.frombuffer(weight, "<f4")
-        return self
-
-    def scores(self, terms: np.ndarray) -> np.ndarray:
-        lists = [slice(self.first[t], self.first[t + 1]) for t in terms]
-        doc = np.concatenate([self.doc[s] for s in lists])
-        return np.bincount(doc, np.concatenate([self.weight[s] for s in lists]), self.n)
-
-    def neighbours(self, seed: int, free: np.ndarray):
-        """Unused documents by their BM25 over all distinct terms of the seed, best first, ties by place."""
-        score = self.scores(self.own[seed])
-        hit = np.nonzero((score > 0) & free)[0]
-        return hit[np.argsort(-score[hit], kind="stable")] if len(hit) else hit
-
-
-def best(place: np.ndarray, score: np.ndarray, rest: np.ndarray, need: int):
-    """The first candidates, by score and place, that hold ``need`` ids together; all where they hold fewer."""
-    m = 128
-    while m < len(place):
-        least = np.partition(score, len(score) - m)[len(score) - m]
-        at = np.nonzero(score >= least)[0]
-        if rest[place[at]].sum(dtype=np.int64) >= need:
-            place, score = place[at], score[at]
-            break
-        m *= 4
-    at = np.lexsort((place, -score))
-    place, score = place[at], score[at]
-    k = int(np.searchsorted(np.cumsum(rest[place], dtype=np.int64), need)) + 1
-    return place[:k], score[:k]
-
-
-class Packing:
-    """Places of all pieces, made on the driver from the neighbours of blocks of seeds."""
-
-    def __init__(self, sizes: np.ndarray, window: int):
-        self.window, self.sizes = window, sizes
-        self.at = sizes // window * window  # where each document's unused rest starts
-        self.rest = (sizes - self.at).astype(np.int32)
-        self.seq, self.next = int((sizes // window).sum()), 0  # full windows are numbered first
-
-    def full_windows(self):
-        seq = 0
-        for d in np.nonzero(self.at)[0]:
-            for start in range(0, int(self.at[d]), self.window):
-                yield seq, int(d), start, self.window, 0
-                seq += 1
-
-    def block(self) -> np.ndarray:
-        """The next seeds; few enough that most of their neighbours stay unused meanwhile."""
-        free = np.nonzero(self.rest[self.next :])[0] + self.next
-        if len(free):
-            self.next = int(free[0])
-        return free[: max(LEAST_BLOCK, min(BLOCK, len(free) // 8))]
-
-    def fill(self, seeds, lists, need: int):
-        """Yield ``(sequence, doc, start, length, offset)`` for the seeds of a block, each with its best candidates."""
-        rest, held = self.rest, [int(self.rest[found].sum(dtype=np.int64)) for found in lists]
-        for seed, found, ids in zip(seeds, lists, held, strict=True):
-            if not rest[seed]:
-                continue
-            chosen, room = [(int(seed), int(rest[seed]))], self.window - int(rest[seed])
-            for d in found:
-                if not room:
-                    break
-                if rest[d] and d != seed:
-                    size = min(room, int(rest[d]))
-                    chosen.append((int(d), size))
-                    room -= size
-            if room and ids >= need:
-                continue  # there are more neighbours than were asked for
-            taken = {d for d, _ in chosen}
-            for d in np.nonzero(rest)[0] if room else ():
+        self.doc, self.weight = doc[order], weight[order]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=size))]).astype(np.int64)
+
+    def frequent(self, seeds: np.ndarray) -> np.ndarray:
+        """Scores of all documents for the seeds' frequent terms."""
+        q = np.zeros((len(seeds), len(self.dense)), np.float32)
+        for i, s in enumerate(seeds):
+            r = self.row[self.own[s]]
+            q[i, r[r >= 0]] = 1.0
+        return q @ self.dense
+
+    def add_rare(self, seed: int, score: np.ndarray) -> np.ndarray:
+        """``score`` with what the seed's other terms add."""
+        t = self.own[seed]
+        start, size = self.first[t], self.first[t + 1] - self.first[t]
+        end = np.cumsum(size)
+        if len(t) and end[-1]:
+            at = np.repeat(start - end + size, size) + np.arange(end[-1])
+            score += np.bincount(self.doc[at], self.weight[at], self.n)
+        return score
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document over all distinct terms of the seed."""
+        return self.add_rare(seed, self.frequent(np.array([seed]))[0])
+
+
+def pack(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW, filled: list | None = None):
+    """Yield ``(sequence, doc, start, length, offset)`` for the documents of one shard; ``filled`` takes the ids placed by retrieval and in all beside seeds."""
+    sizes = np.array([len(d) for d in docs], np.int64)
+    at = sizes // window * window  # where each document's unused rest starts
+    rest, seq = sizes - at, 0
+    for d in np.nonzero(at)[0]:
+        for start in range(0, int(at[d]), window):
+            yield seq, int(d), start, window, 0
+            seq += 1
+    if not rest.any():
+        return
+    index, free = Shard(docs, idf, mean), rest > 0
+    ready: dict[int, np.ndarray] = {}
+    block = max(1, min(BLOCK, MATRIX // len(docs)))
+    for seed in range(len(docs)):
+        if not free[seed]:
+            continue
+        chosen, room = [(seed, int(rest[seed]))], window - int(rest[seed])
+        free[seed] = False
+        score = None
+        if room:
+            if seed not in ready:
+                todo = np.concatenate([[seed], np.nonzero(free[seed + 1 :])[0][: block - 1] + seed + 1])
+                ready = dict(zip(todo.tolist(), index.frequent(todo), strict=True))
+            score = np.where(free, index.add_rare(seed, ready.pop(seed)), np.float32(0))
+        while room and score is not None:
+            d = int(score.argmax())
+            if score[d] <= 0:
+                score = None
+                break
+            score[d] = 0
+            size = min(room, int(rest[d]))
+            chosen.append((d, size))
+            free[d], room = False, room - size
+        found = len(chosen)
+        if room:  # nothing unused shares a term with the seed: the next ones by content
+            for d in np.nonzero(free)[0]:
+                size = min(room, int(rest[d]))
+                chosen.append((int(d), size))
+                free[d], room = False, room - size
                 if not room:
                     break
-                if int(d) not in taken:
-                    size = min(room, int(rest[d]))
-                    chosen.append((int(d), size))
-                    room -= size
-            if room:  # nothing is left to fill with
-                yield from _tail(self.seq, [d for d, _ in chosen], self.at, rest, self.window)
-                return
-            offset = 0
-            for d, size in chosen:
-                yield self.seq, d, int(self.at[d]), size, offset
-                self.at[d] += size
-                rest[d] -= size
-                offset += size
-            self.seq += 1
-
-
-def pack(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW):
-    """Yield ``(sequence, doc, start, length, offset)`` for documents that fit in one index, one seed after the other."""
-    p = Packing(np.array([len(d) for d in docs], np.int64), window)
-    yield from p.full_windows()
-    index = Shard(docs, idf, mean) if docs else None
-    while len(seeds := p.block()):
-        yield from p.fill(seeds[:1], [index.neighbours(seeds[0], p.rest > 0)], 1 << 62)
-
-
-def _tail(seq: int, docs: list[int], at, rest, window: int):
+        if filled is not None:
+            filled.append((sum(s for _, s in chosen[1:found]), sum(s for _, s in chosen[1:])))
+        if room:
+            yield from _tail(seq, [d for d, _ in chosen], at, rest)
+            return
+        offset = 0
+        for d, size in chosen:
+            yield seq, d, int(at[d]), size, offset
+            at[d], rest[d], offset = at[d] + size, rest[d] - size, offset + size
+        last = chosen[-1][0]
+        if rest[last]:
+            free[last] = True  # the one that was cut stays unused: it comes after its seed, as all unused ones do
+        seq += 1
+
+
+def _tail(seq: int, docs: list[int], at, rest):
     """The last tokens of a shard, fewer than a window, as sequences whose lengths are powers of two."""
     left, room, offset = int(sum(rest[d] for d in docs)), 0, 0
     seq -= 1
@@ -192,116 +229,122 @@ def _tail(seq: int, docs: list[int], at, rest, window: int):
 
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-PLACES = ("sequence_id", "place", "start", "length", "offset")
 
 
-def _places(starts, row):
-    """Dense places of rows numbered by ``monotonically_increasing_id``."""
-    part, count = starts
-    return count[np.searchsorted(part, row >> 33)] + (row & ((1 << 33) - 1))
+def _terms(path: str, end_id: int):
+    """Different ids of documents."""
 
-
-def _build(stats):
     def run(batches):
-        enter("pack")
-        df, n, mean = stats.value
-        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        rows, docs, held = [], [], 0
-
-        def flush():
-            x = Shard(docs, idf, mean)
-            parts = (np.array(rows, "<i8"), x.first.astype("<i4"), x.doc.astype("<i4"), x.weight.astype("<f4"))
-            return pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], ["rows", "first", "doc", "weight"])
-
-        for batch in batches:
-            for r, x in zip(batch.column(0), batch.column(1), strict=True):
-                rows.append(r.as_py()), docs.append(np.frombuffer(x.as_py(), "<u2"))
-                held += len(docs[-1])
-                if held >= SHARD_TOKENS:
-                    yield flush()
-                    rows, docs, held = [], [], 0
-        if docs:
-            yield flush()
-        settle()
+        at = np.empty(load(path).size, np.int32)
+        for batch in token_batches(path, end_id)(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([distinct(np.frombuffer(x.as_py(), "<u2"), at).tobytes() for x in batch.column(1)], pa.binary())], ["terms"])
 
     return run
 
 
-def _search(block, starts, need: int):
-    """For each seed the task's best unused documents, as far as ``need`` ids."""
+def _tokens(path: str, end_id: int, dealer, folder: str):
+    """Ids, their number and the key of each row; the task's document frequencies go to a file of its own."""
 
     def run(batches):
-        enter("pack")
-        terms, seeds, rest = block.value
-        found = [(np.empty(0, np.int64), np.empty(0)) for _ in seeds]
-        full = np.zeros(len(seeds))  # no worse score can enter
-        for batch in batches:
-            for i in range(batch.num_rows):
-                rows, first, doc, weight = (batch.column(j)[i].as_py() for j in range(4))
-                place = _places(starts, np.frombuffer(rows, "<i8"))
-                free = rest[place] > 0
-                if not free.any():
-                    continue
-                index = Shard.of(len(place), first, doc, weight)
-                for s, t in enumerate(terms):
-                    score = index.scores(t)
-                    hit = np.nonzero((score > 0) & (score >= full[s]) & free)[0]
-                    hit = hit[place[hit] != seeds[s]]
-                    if len(hit):
-                        p, v = best(np.concatenate([found[s][0], place[hit]]), np.concatenate([found[s][1], score[hit]]), rest, need)
-                        found[s] = p, v
-                        if rest[p].sum(dtype=np.int64) >= need:
-                            full[s] = v[-1]
-        for at in range(0, len(seeds), 256):
-            part = found[at : at + 256]
-            n = np.repeat(np.arange(at, at + len(part)), [len(p) for p, _ in part])
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(np.concatenate([p for p, _ in part])), pa.array(np.concatenate([v for _, v in part]))], ["seed", "place", "score"])
-        settle()
+        from pyspark import TaskContext
+
+        size, part = load(path).size, TaskContext.get().partitionId()
+        at, df = np.empty(size, np.int32), np.zeros(size + 2, np.int64)  # rows and ids last
+        for batch in token_batches(path, end_id)(batches):
+            ids = [np.frombuffer(x.as_py(), "<u2") for x in batch.column(1)]
+            terms = [distinct(x, at) for x in ids]
+            n = np.array([len(x) for x in ids], np.int64)
+            for t in terms:
+                df[t] += 1
+            df[size:] += len(ids), n.sum()
+            key = dealer.value.keys(*dealer.value.features(terms))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(key)], ["doc_id", "ids", "n", "key"])
+        raw = zstandard.ZstdCompressor().compress(df.tobytes())
+        put_file(f"{folder}/df-{part:07d}.bin", lambda out: out.write(raw))
 
     return run
 
 
-def _neighbours(tokens: DataFrame, index: DataFrame, starts, numbers: np.ndarray, seeds: np.ndarray, rest: np.ndarray, need: int) -> list[np.ndarray]:
-    """For each seed its best unused documents of the whole corpus, as far as ``need`` ids."""
-    from pyspark.sql import Window
+def _sum_files(batches):
+    total = 0
+    for batch in batches:
+        for x in batch.column(0):
+            total = total + np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.int64)
+    if not isinstance(total, int):
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
+
+
+def tokenised(rows: DataFrame, path: str, end_id: int) -> tuple[DataFrame, np.ndarray, int, int]:
+    """``row, doc_id, ids, n, key`` of all rows, written; document frequency per id, rows, ids."""
+    spark, size = rows.sparkSession, load(path).size
+    many = rows.count()
+    sample = rows if many <= SAMPLE else rows.sample(0.95 * SAMPLE / many, seed=20240229)
+    terms = [np.frombuffer(bytes(r["terms"]), "<u2") for r in sample.mapInArrow(_terms(path, end_id), "terms binary").collect()]
+    dealer = Dealer(inverse_frequency(np.bincount(np.concatenate([*terms, np.empty(0, "<u2")]), minlength=size), len(terms)))
+    dealer.fit(dealer.features(terms)[0])
+    folder = shared_dir(spark)
+    tokens = rows.mapInArrow(_tokens(path, end_id, spark.sparkContext.broadcast(dealer), folder), "doc_id long, ids binary, n long, key long")
+    tokens = written(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
+    df = np.zeros(size + 2, np.int64)
+    if many:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "df-*.bin").load(folder).select("content")
+        for r in files.mapInArrow(_sum_files, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+            df[r["term"]] = r["n"]
+    return tokens, df[:size], int(df[size]), int(df[size + 1])
+
+
+def dealt(tokens: DataFrame, total: int) -> DataFrame:
+    """``part, doc_id, ids``, partitioned by ranges of the content key and sorted by it. A range too large for one task is dealt to several."""
+    ranges = F.shiftright("key", RANGE_SHIFT)
+    found = sorted((r["range"], r["n"]) for r in tokens.groupBy(ranges.alias("range")).agg(F.sum("n").alias("n")).collect())  # one row a range
+    most, table, part, held = max(PART_TOKENS, -(-total // MAX_PARTS)), [], 0, 0
+    for x, n in found:
+        splits = max(1, round(n / most))
+        if held and (splits > 1 or held + n > most):
+            part, held = part + 1, 0
+        table.append((x, part, splits))
+        if splits > 1:
+            part += splits
+        else:
+            held += n
+    parts = part + 1
+    shown = tokens.sparkSession.createDataFrame(table, "range long, first int, splits int")
+    placed = tokens.withColumn("range", ranges).join(F.broadcast(shown), "range")
+    placed = placed.select((F.col("first") + F.pmod(F.xxhash64("doc_id", "row"), F.col("splits"))).cast("int").alias("part"), "key", "doc_id", "row", "ids")
+    return placed.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "key", "doc_id", "row").select("part", "doc_id", "ids")
 
-    spark = tokens.sparkSession
-    own = numbers[seeds]
-    # the numbers of a block are near each other: most files are passed over
-    between = tokens.where(F.col("row").between(int(own[0]), int(own[-1]))).select("row", "ids")
-    wanted = spark.sparkContext.broadcast(own)
 
-    def distinct(batches):
-        for batch in batches:
-            keep = np.nonzero(np.isin(batch.column(0).to_numpy(), wanted.value))[0]
-            part = batch.take(pa.array(keep))
-            ids = [np.unique(np.frombuffer(x.as_py(), "<u2")).tobytes() for x in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["row", "terms"])
+def _pack_shards(stats, window: int):
+    def run(batches):
+        enter("pack")
+        idf, mean = stats.value
+        names, docs, held, base, used = [], [], 0, 0, 0
 
-    terms = {r["row"]: np.frombuffer(bytes(r["terms"]), "<u2") for r in between.mapInArrow(distinct, "row long, terms binary").collect()}
-    block = spark.sparkContext.broadcast(([terms[int(r)] for r in own], seeds, rest.astype(np.int32)))
-    found = index.mapInArrow(_search(block, starts, need), "seed long, place long, score double")
-    of_seed = found.groupBy("seed").agg(F.collect_list("place").alias("p"), F.collect_list("score").alias("v"))
+        def flush():
+            nonlocal used
+            rows, most = [], 0
+            for seq, d, start, length, offset in pack(docs, idf, mean, window):
+                rows.append((names[d], start, length, docs[d][start : start + length].astype("<u4").tobytes(), len(docs[d]), base + used + seq, offset))
+                most = max(most, seq + 1)
+            used += most
+            for i in range(0, len(rows), 2048):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if j == 3 else pa.int64()) for j, c in enumerate(zip(*rows[i : i + 2048], strict=True))], [x.split()[0] for x in PIECES.split(", ")])
 
-    def merge(batches):
         for batch in batches:
-            lists = [best(np.array(p.as_py(), np.int64), np.array(v.as_py()), block.value[2], need)[0] for p, v in zip(batch.column(1), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype("<i8").tobytes() for x in lists], pa.binary())], ["seed", "places"])
-
-    out = [np.empty(0, np.int64)] * len(seeds)
-    for r in of_seed.mapInArrow(merge, "seed long, places binary").collect():
-        out[r["seed"]] = np.frombuffer(bytes(r["places"]), "<i8")
-    block.destroy(), wanted.destroy()
-    return out
-
+            for p, name, x in zip(*batch.columns, strict=True):
+                if not docs:
+                    base = p.as_py() << 32
+                names.append(name.as_py()), docs.append(np.frombuffer(x.as_py(), "<u2"))
+                held += len(docs[-1])
+                if held >= SHARD_TOKENS or len(docs) >= SHARD_DOCS:
+                    yield from flush()
+                    names, docs, held = [], [], 0
+        if docs:
+            yield from flush()
+        settle()
 
-def _cut(batches):
-    """Rows with the places of their pieces to pieces."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            doc, ids, pieces = batch.column(0)[i].as_py(), np.frombuffer(batch.column(1)[i].as_py(), "<u2"), batch.column(2)[i].as_py()
-            rows = [(doc, p["start"], p["length"], ids[p["start"] : p["start"] + p["length"]].astype("<u4").tobytes(), len(ids), p["sequence_id"], p["offset"]) for p in pieces]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if j == 3 else pa.int64()) for j, c in enumerate(zip(*rows, strict=True))], [x.split()[0] for x in PIECES.split(", ")])
+    return run
 
 
 def pack_documents(
@@ -310,42 +353,14 @@ def pack_documents(
     """Pieces of all rows: ``doc_id, start, length, ids (little-endian u32), doc_tokens, sequence_id, offset``.
 
     Every id of a row, the end id included, lies in exactly one piece. A null or empty
-    text is its end id. Rows with a null or repeated id are packed each on their own;
-    other columns are ignored; an empty table gives no rows.
+    text is its end id. Rows with a null or repeated id are packed each on their own. Neighbours of equal score go
+    by their order in the shard. A text of any length is held whole by one task, as its ids; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     path = vocabulary or default_vocabulary()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tokens = rows.mapInArrow(token_batches(path, end_id), "doc_id long, ids binary").withColumn("row", F.monotonically_increasing_id())
-    tokens = written(tokens, "tokens")
-    stats = spark.sparkContext.broadcast(statistics(tokens, path))  # one number for each vocabulary id
-    index = written(tokens.select("row", "ids").mapInArrow(_build(stats), "rows binary, first binary, doc binary, weight binary"), "index")
-    known = tokens.select("row", (F.octet_length("ids") / 2).cast("int").alias("n")).toArrow()
-    numbers, sizes = known["row"].to_numpy(), known["n"].to_numpy().astype(np.int64)
-    order = np.argsort(numbers)
-    numbers, sizes = numbers[order], sizes[order]
-    starts = np.unique(numbers >> 33, return_index=True)
-
-    places, folder = [], f"{shared_dir(spark)}/places"
-
-    def keep(pieces) -> None:
-        x = np.array(list(pieces), np.int64).reshape(-1, 5)
-        x[:, 1] = numbers[x[:, 1]]
-        places.append(x)
-
-    def put() -> None:
-        x = np.concatenate(places)
-        places.clear()
-        spark.createDataFrame(pa.table({c: x[:, i] for i, c in enumerate(PLACES)}), "sequence_id long, place long, start long, length long, offset long").write.mode("append").parquet(folder)
-
-    p = Packing(sizes, window)
-    keep(p.full_windows())
-    while len(seeds := p.block()):
-        need = window * max(1, BLOCK_WINDOWS // len(seeds))
-        keep(p.fill(seeds, _neighbours(tokens, index, starts, numbers, seeds, p.rest, need), need))
-        if sum(map(len, places)) >= HELD_PIECES:
-            put()
-    put()
-    pieces = spark.read.schema("sequence_id long, place long, start long, length long, offset long").parquet(folder)
-    of_row = pieces.groupBy(F.col("place").alias("row")).agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
-    return tokens.join(of_row, "row").select("doc_id", "ids", "pieces").mapInArrow(_cut, PIECES)
+    tokens, df, n, total = tokenised(rows, path, end_id)
+    if not n:
+        return spark.createDataFrame([], PIECES)
+    shared = spark.sparkContext.broadcast((inverse_frequency(df, n), total / n))  # one number for each vocabulary id
+    return dealt(tokens, total).mapInArrow(_pack_shards(shared, window), PIECES)

@@ -84,31 +84,65 @@ def test_neighbours_are_scored_by_all_terms_of_the_seed():
     for d in docs:
         df[np.unique(d)] += 1
     idf, mean = np.log1p((60 - df + 0.5) / (df + 0.5)).astype(np.float32), float(np.mean([len(d) for d in docs]))
-    index, free = bm25_pack.Shard(docs, idf, mean), np.ones(60, bool)
+    index = bm25_pack.Shard(docs, idf, mean)
     for seed in range(60):
-        got, want = index.neighbours(seed, free), bm25_brute(docs, seed, idf, mean)
-        assert len(np.unique(docs[seed])) > 12 and len(got) == (want > 0).sum()
-        assert (np.diff(want[got]) < 1e-3).all()
-
-
-def test_packing_finds_neighbours_in_all_shards(spark, monkeypatch):
-    """Near copies far apart, in other partitions and shards, share a sequence; the shards do not change the result."""
+        assert len(np.unique(docs[seed])) > 12
+        np.testing.assert_allclose(index.scores(seed), bm25_brute(docs, seed, idf, mean), rtol=1e-4)
+    # each sequence is filled by the best documents unused at its turn
+    rest, seen = np.array([len(d) for d in docs]), {}
+    for seq, d, start, length, offset in bm25_pack.pack(docs, idf, mean, 500):
+        seen.setdefault(seq, []).append((offset, d, start, length))
+    for seq in sorted(seen):
+        parts = sorted(seen[seq])
+        score = bm25_brute(docs, parts[0][1], idf, mean)
+        rest[parts[0][1]] -= parts[0][3]
+        if sum(x[3] for x in parts) == 500:
+            for _, d, _, length in parts[1:]:
+                assert score[d] >= score[rest > 0].max() - 1e-3
+                left = rest[d] - length
+                rest[d], score[d] = 0, 0
+                if left:
+                    rest[d] = left
+
+
+def test_packing_brings_near_copies_of_other_partitions_together(spark, monkeypatch):
+    """Rows are dealt to shards by content: near copies far apart share a sequence (a shard of a few documents may end between two copies)."""
     rng = random.Random(8)
     vocab = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
     texts = [" ".join(rng.choice(vocab[20 * k : 20 * k + 20]) for _ in range(150)) for k in range(20)]
     df = spark.createDataFrame([(i, texts[i % 20]) for i in range(40)], "doc_id long, text string").repartitionByRange(5, "doc_id")
     window = len(tokens.load(tokens.default_vocabulary()).encode([texts[0]])[0])  # two texts: an id has two bytes
-    found = []
-    for shard_tokens in (300, 2_000_000):
+    for shard_tokens in (6000, 1_000_000):
         monkeypatch.setattr(bm25_pack, "SHARD_TOKENS", shard_tokens)
-        found.append(sorted(tuple(r) for r in bm25_pack.pack_documents(df, window=window).select("doc_id", "start", "length", "sequence_id", "offset").collect()))
-    assert found[0] == found[1]
-    seqs = {}
-    for d, start, _, seq, offset in found[0]:
-        seqs.setdefault(seq, []).append((offset, d, start))
-    whole = [sorted(v) for v in seqs.values()]
-    pairs = [v for v in whole if len(v) > 1 and v[0][2] == v[1][2] == 0]
-    assert len(pairs) >= 5 and sum(v[0][1] % 20 == v[1][1] % 20 for v in pairs) >= 0.8 * len(pairs)
+        rows = bm25_pack.pack_documents(df, window=window).collect()
+        check_pieces([(i, texts[i % 20]) for i in range(40)], rows, window)
+        seqs = {}
+        for r in rows:
+            seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["doc_id"], r["start"]))
+        pairs = [v for v in map(sorted, seqs.values()) if len(v) > 1 and v[0][2] == v[1][2] == 0]
+        assert len(pairs) >= 5 and sum(v[0][1] % 20 == v[1][1] % 20 for v in pairs) >= 0.8 * len(pairs)
+
+
+def test_a_hot_range_is_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(bm25_pack, "PART_TOKENS", 400)
+    rows = [(i, "the same text of nine words for all rows") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("x"))
+    docs = df.select("doc_id", "text")
+    held, _, n, total = bm25_pack.tokenised(docs, tokens.default_vocabulary(), 1)
+    parts = bm25_pack.dealt(held, total).groupBy("part").count().collect()
+    assert n == 200 and len(parts) >= total // 400 - 1 and max(r["count"] for r in parts) < 200 / len(parts) * 2.5
+    check_pieces(rows, bm25_pack.pack_documents(df).collect())
+
+
+def test_words_merge_as_the_tokenizer_merges_them():
+    from quaesta.llm import bpe
+
+    tok = tokens.load(tokens.default_vocabulary()).tok
+    rng = random.Random(4)
+    letters = "".join(chr(c) for c in range(97, 123)) + "aeiouéüñ"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(3000)] + ["a" * 500, "the", "é"]
+    got = bpe.Merger(tok, tokens._byte_letters()).encode([w.encode() for w in words])
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [tok.encode(w, add_special_tokens=False).ids for w in words]
 
 
 def test_feistel_is_a_keyed_permutation():
