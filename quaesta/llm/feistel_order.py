@@ -4,11 +4,13 @@ Token sequences get dense numbers 0..N-1, a keyed Feistel network with cycle-wal
 permutes them, and each sequence's image is its global slot. Slots are dealt by range:
 shard k holds slots k*S to (k+1)*S-1 in order, one fixed-stride record each, so slot s is at byte
 (s mod S) * stride of shard s div S. A trainer reads sequentially, or resumes anywhere
-by seeking; a writer that is run again skips shards that are whole.
+by seeking. Shards are named by a digest of the key, the layout, the vocabulary and all sequences: a writer that is run
+again keeps whole shards of the same order and no others. The manifest comes last, then shards of other orders go.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
 import zlib
@@ -21,9 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_fs, enter, mix64, put_file, settle, shared_dir, written
-from .tokens import default_vocabulary, load
+from .tokens import default_vocabulary, load, slices
 
 SEQ_LEN, PER_SHARD, ROUNDS = 2048, 2048, 6
+#: Tasks that write shards at most; each writes a run of them, one after the other.
+MAX_WRITERS = 1 << 14
 PAD_ID = 49407
 #: Sequence number, ids that are not padding, CRC-32 of the ids' bytes.
 HEAD, HEAD_BYTES = "<QII", 16
@@ -71,8 +75,8 @@ def _sequences(path: str, seq_len: int, end_id: int):
             return batch
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                left += b"".join(x + end for x in tok.encode(batch.column(0).slice(at, 512).to_pylist()))
+            for part_ in slices(batch, 0, 2 << 20):
+                left += b"".join(x + end for x in tok.encode(part_.column(0).to_pylist()))
                 whole = len(left) // size * size
                 if whole:
                     yield out([left[i : i + size] for i in range(0, whole, size)])
@@ -90,16 +94,31 @@ def token_sequences(docs: DataFrame, text_col: str, vocabulary: str, seq_len: in
     return rows.mapInArrow(_sequences(vocabulary, seq_len, end_id), "part int, local long, n_tokens int, packed binary")
 
 
-def _write(folder: str, n: int, seq_len: int, per_shard: int, pad_id: int):
+def shard_name(order: str, shard: int) -> str:
+    return f"shard-{order}-{shard:07d}.bin"
+
+
+def _whole(system, path: str, size: int, count: int) -> bool:
+    """Whether a file holds ``count`` records whose checksums fit."""
+    info = system.get_file_info(path)
+    if not (info.is_file and info.size == count * size):
+        return False
+    with system.open_input_stream(path) as f:
+        for _ in range(count):
+            raw = f.read(size)
+            if zlib.crc32(raw[HEAD_BYTES:]) != struct.unpack_from(HEAD, raw)[2]:
+                return False
+    return True
+
+
+def _write(folder: str, order: str, n: int, seq_len: int, per_shard: int, pad_id: int):
     size = stride(seq_len)
     pad = np.array([pad_id], "<u2").tobytes()
 
     def write(shard: int, rows):
-        uri = f"{folder}/shard-{shard:07d}.bin"
+        uri = f"{folder}/{shard_name(order, shard)}"
         count = min(per_shard, n - shard * per_shard)
-        system, path = arrow_fs(uri)
-        info = system.get_file_info(path)
-        if not (info.is_file and info.size == count * size):
+        if not _whole(*arrow_fs(uri), size, count):
             unpack = zstandard.ZstdDecompressor()
 
             def to(out):
@@ -136,34 +155,50 @@ def write_order(
 ) -> dict:
     """Write shards and ``manifest.json`` below ``folder``; returns the manifest.
 
-    A null or empty text is its end id alone. Repeated rows are written each. An empty table gives
-    a manifest of no sequences. The driver holds one count for each partition of the input.
+    A null or empty text is its end id alone. Repeated rows are written each; a text of any length is cut into sequences.
+    Sequences are numbered as the input's partitions hold them, so other partitions give another order (and other shards). Other
+    columns are ignored. An empty table gives a manifest of no sequences. The driver holds one count and hash for each partition of the input.
     """
     path = vocabulary or default_vocabulary()
     seqs = written(token_sequences(docs, text_col, path, seq_len, end_id), "sequences")
-    counts = {r["part"]: r["n"] for r in seqs.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    held = seqs.groupBy("part").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("local", "n_tokens", "packed")).alias("x"), F.bit_xor(F.xxhash64("packed", "local")).alias("y"))
+    held = sorted(tuple(r) for r in held.collect())
     first, n = {}, 0
-    for p in sorted(counts):
-        first[p], n = n, n + counts[p]
-    manifest = {"sequences": n, "seq_len": seq_len, "per_shard": per_shard, "stride": stride(seq_len), "key": key, "dtype": "<u2", "pad_id": pad_id}
+    for p, count, *_ in held:
+        first[p], n = n, n + count
+    with open(path, "rb") as f:
+        words = hashlib.sha256(f.read()).hexdigest()
+    order = hashlib.sha256(json.dumps([key, n, seq_len, per_shard, end_id, pad_id, words, held]).encode()).hexdigest()[:24]
+    manifest = {"order": order, "sequences": n, "seq_len": seq_len, "per_shard": per_shard, "stride": stride(seq_len), "key": key, "dtype": "<u2", "pad_id": pad_id}
+    if n:
+        _write_shards(seqs, first, folder, manifest)
     put_file(f"{folder}/manifest.json", lambda out: out.write(json.dumps(manifest).encode()))
-    if not n:
-        return manifest
+    system, root = arrow_fs(folder)
+    from pyarrow import fs
+
+    for f in system.get_file_info(fs.FileSelector(root)):
+        if f.base_name.startswith("shard-") and not f.base_name.startswith(f"shard-{order}-"):
+            system.delete_file(f.path)
+    return manifest
+
+
+def _write_shards(seqs: DataFrame, first: dict[int, int], folder: str, m: dict) -> None:
+    n, key, per_shard = m["sequences"], m["key"], m["per_shard"]
 
     def slots(number):
         import pandas as pd
 
         return pd.Series(permute(number.to_numpy(), n, key))
 
-    offsets = docs.sparkSession.createDataFrame([(p, o) for p, o in first.items()], "part int, first long")
+    offsets = seqs.sparkSession.createDataFrame([(p, o) for p, o in first.items()], "part int, first long")
     # one row for each partition of the input, so small at any size of it
     numbered = seqs.join(F.broadcast(offsets), "part").withColumn("number", F.col("first") + F.col("local"))
     numbered = numbered.select(F.pandas_udf(slots, T.LongType())("number").alias("slot"), "number", "n_tokens", "packed")
     shards = -(-n // per_shard)
-    # partition k of the shuffle is shard k: the range bounds are known, nothing has to be sampled
-    dealt = numbered.repartitionById(shards, F.expr(f"cast(slot div {per_shard} as int)")).sortWithinPartitions("slot")
-    written(dealt.mapInArrow(_write(folder, n, seq_len, per_shard, pad_id), "shard string, sequences long"), "shards")
-    return manifest
+    writers = min(shards, MAX_WRITERS)
+    # each writer has a run of shards: the range bounds are known, nothing has to be sampled
+    dealt = numbered.repartitionById(writers, F.expr(f"cast((slot div {per_shard}) * {writers} div {shards} as int)")).sortWithinPartitions("slot")
+    written(dealt.mapInArrow(_write(folder, m["order"], n, m["seq_len"], per_shard, m["pad_id"]), "shard string, sequences long"), "shards")
 
 
 def read_slots(folder: str, start: int, count: int):
@@ -173,7 +208,7 @@ def read_slots(folder: str, start: int, count: int):
         m = json.loads(f.read())
     slot, stop = start, min(m["sequences"], start + count)
     while slot < stop:
-        with system.open_input_file(f"{root}/shard-{slot // m['per_shard']:07d}.bin") as f:
+        with system.open_input_file(f"{root}/{shard_name(m['order'], slot // m['per_shard'])}") as f:
             f.seek(slot % m["per_shard"] * m["stride"])
             while slot < stop:
                 raw = f.read(m["stride"])
@@ -193,7 +228,7 @@ def _check(seq_len: int, per_shard: int):
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 name, raw = path.as_py(), memoryview(content.as_py())
-                first = int(name.rsplit("shard-", 1)[1][:-4]) * per_shard
+                first = int(name.rsplit("-", 1)[1][:-4]) * per_shard
                 if len(raw) % size:
                     raise ValueError(f"{name} ends within a record")
                 rows = []
@@ -207,11 +242,11 @@ def _check(seq_len: int, per_shard: int):
     return run
 
 
-def order_rows(spark, folder: str, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD) -> DataFrame:
-    """One row per slot, read back from the shards (one in a task's memory at a time)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder)
+def order_rows(spark, folder: str, m: dict) -> DataFrame:
+    """One row per slot of the order with manifest ``m``, read back from its shards (one in a task's memory at a time)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"shard-{m['order']}-*.bin").load(folder)
     return files.select("path", "content").mapInArrow(
-        _check(seq_len, per_shard), "slot long, sequence long, shard long, byte_offset long, n_tokens long, ids_crc32 long"
+        _check(m["seq_len"], m["per_shard"]), "slot long, sequence long, shard long, byte_offset long, n_tokens long, ids_crc32 long"
     )
 
 
@@ -221,4 +256,4 @@ def materialised_order(docs: DataFrame, key: int, **options) -> DataFrame:
     m = write_order(docs, folder, key, **options)
     if not m["sequences"]:
         return docs.sparkSession.createDataFrame([], "slot long, sequence long, shard long, byte_offset long, n_tokens long, ids_crc32 long")
-    return order_rows(docs.sparkSession, folder, m["seq_len"], m["per_shard"])
+    return order_rows(docs.sparkSession, folder, m)

@@ -172,12 +172,31 @@ def test_shards_hold_every_sequence_at_its_slot(spark, tmp_path):
     feistel_order.write_order(df, folder, 11, seq_len=16, per_shard=7)
     assert [x[:3] for x in feistel_order.read_slots(folder, 0, 10**9)] == [x[:3] for x in out]
     assert all(p.stat().st_mtime_ns == t for p, t in before.items() if p != lost)
-    rows = feistel_order.order_rows(spark, folder, 16, 7).collect()
+    rows = feistel_order.order_rows(spark, folder, m).collect()
     assert sorted(r["slot"] for r in rows) == list(range(n)) and all(r["byte_offset"] == r["slot"] % 7 * m["stride"] for r in rows)
     assert {r["slot"]: r["ids_crc32"] for r in rows} == {s: zlib.crc32(ids.tobytes()) for s, _, _, ids in out}
+    damaged = sorted(before)[0]
+    raw = bytearray(damaged.read_bytes())
+    raw[-1] ^= 1
+    damaged.write_bytes(raw)
+    feistel_order.write_order(df, folder, 11, seq_len=16, per_shard=7)
+    assert [x[:3] for x in feistel_order.read_slots(folder, 0, 10**9)] == [x[:3] for x in out]
     assert feistel_order.materialised_order(df.limit(0), 1).count() == 0
 
 
+def test_shards_of_another_key_or_corpus_are_never_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feistel_order, "MAX_WRITERS", 3)
+    folder, other = f"file://{tmp_path}/order", f"file://{tmp_path}/other"
+    corpora = [spark.createDataFrame([(f"{w} " * (i % 9), ) for i in range(60)], "text string").coalesce(2) for w in ("one", "two")]
+    for docs, key in ((corpora[0], 11), (corpora[0], 12), (corpora[1], 12), (corpora[1], 11)):
+        m = feistel_order.write_order(docs, folder, key, seq_len=16, per_shard=7)
+        feistel_order.write_order(docs, other + f"{key}", key, seq_len=16, per_shard=7)
+        got, want = ([(s, n, t, ids.tolist()) for s, n, t, ids in feistel_order.read_slots(x, 0, 10**9)] for x in (folder, other + f"{key}"))
+        assert got == want and len(got) == m["sequences"]
+        assert [s for s, *_ in got] == [int(feistel_order.permute(np.array([n]), m["sequences"], key)[0]) for _, n, *_ in got]
+        assert len(list((tmp_path / "order").glob("shard-*"))) == -(-m["sequences"] // 7)
+
+
 def test_language_of_held_out_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     train, test = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
