@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quaesta.llm import cover_tree, near_dup
 from quaesta.llm.components import connected_components
@@ -83,8 +84,6 @@ def test_near_duplicates_edges(spark):
 
 
 def test_estimate_is_near_the_similarity(spark):
-    from pyspark.sql import functions as F
-
     a, b = (" ".join(f"w{i}" for i in r) for r in (range(1000), range(100, 1100)))
     s = near_dup.signatures(spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string"), k=5)
     x, y = s.where("doc_id = 0").select(F.col("planes").alias("x")), s.where("doc_id = 1").select(F.col("planes").alias("y"))
@@ -130,10 +129,41 @@ def test_embedding_duplicates_edges(spark):
 def test_cover_tree_levels_nest_and_cover():
     rng = np.random.default_rng(0)
     x = cover_tree.unit(np.concatenate([c + 0.05 * rng.normal(size=(60, 6)) for c in rng.normal(size=(10, 6))]))
-    t = cover_tree.CoverTree(x, 0.05)
-    y = x[t.order]
-    assert sorted(t.order.tolist()) == list(range(len(x)))
-    for i, kids in enumerate(t.kids):
+    built = cover_tree.CoverTree(x, 0.05)
+    t = cover_tree.CoverTree.load(built.dump())
+    y = x[built.order]
+    assert sorted(built.order.tolist()) == list(range(len(x))) and len(t.start) > 100
+    for i in range(len(t.start)):
         assert (cover_tree.chord(y[t.start[i] : t.end[i]] @ y[t.center[i]]) <= t.radius[i] + cover_tree.EPS).all()
-        if kids:
-            assert t.center[i] == t.center[kids[0]] and t.start[kids[0]] == t.start[i] and t.end[kids[-1]] == t.end[i]
+        if t.kids[i]:
+            first, last = t.kid[i], t.kid[i] + t.kids[i] - 1
+            assert t.center[i] == t.center[first] and t.start[first] == t.start[i] and t.end[last] == t.end[i]
+
+
+def test_dual_traversal_of_clusters_is_not_quadratic():
+    rng, work = np.random.default_rng(6), []
+    centres = rng.normal(size=(400, 32))
+    for n in (2000, 4000):
+        v = (centres[: n // 10].repeat(10, axis=0) + 0.03 * rng.normal(size=(n, 32))).astype(np.float32).astype(float)
+        x = cover_tree.unit(v)
+        tree = cover_tree.CoverTree(x, 0.1)
+        seen: dict = {}
+        w = np.ones(n, np.int64)
+        na, nb, forest = cover_tree.join_blocks(v[tree.order], w, tree, v[tree.order], w, tree, 0.9, True, seen)
+        assert ((na + nb)[np.argsort(tree.order)] == ((x @ x.T >= 0.9).sum(axis=1) - 1)).all() and len(forest) == n - n // 10
+        work.append(seen["pairs"])
+    # two levels below the root: centres in pairs, and points of near centres only
+    assert work[0] < 2000 * 2000 / 8 and work[1] < 4.2 * work[0]
+
+
+def test_cells_split_until_blocks_hold_them(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    v = (rng.normal(size=(40, 16)).repeat(25, axis=0) + 0.02 * rng.normal(size=(1000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "rep long, v array<double>, w long")
+    blocks, pairs = cover_tree._blocks(df, 0.9)
+    n = blocks.count()
+    assert n > 10 and pairs.count() < n * (n + 1) / 2 / 3
+    whole = v.astype(float)
+    got = cover_tree.embedding_duplicates(df.select(F.col("rep").alias("vec_id"), F.col("v").alias("embedding"))).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == cosine_brute(list(enumerate(whole.tolist())))
