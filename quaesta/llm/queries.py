@@ -50,10 +50,9 @@ def op6_bm25_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = langid.train(docs, "text", "lang")
-    out = langid.identify(docs, model, F.col("text"), declared=F.col("lang"), host=F.col("source"))
-    return out.select("doc_id", "lang", "pred_lang", F.round("posterior", 6).alias("posterior"), "accepted")
+    model = langid.train(table(spark, sf_dir, "documents"), "text", "lang")
+    out = langid.page_languages(table(spark, sf_dir, "pages"), model)
+    return out.withColumn("posterior", F.round("posterior", 6))
 
 
 def op8_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,11 +230,100 @@ def test_language_evidence_compiles(spark):
 def test_pages_by_markup_and_host(spark):
     pages = table(spark, SF, "pages")
     model = langid.train(table(spark, SF, "documents"), "text", "lang")
-    declared = F.regexp_extract("html", r'(?i)<html[^>]*\blang="([^"]*)"', 1)
-    text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
-    host = F.regexp_extract("url", r"://([^/?#]*)", 1)
-    got = langid.identify(pages.withColumn("decl", declared), model, text, F.col("decl"), host).collect()
-    assert np.mean([r["pred_lang"] == r["decl"] for r in got]) > 0.8
+    extra = spark.createDataFrame([
+        (-1, "https://user@news.example.de:8080/x", "<!-- <html lang=es> --><HTML class=a lang='de-AT'><script>the of and</script><p>Die Menschen sind frei und gleich an Recht geboren</p>"),
+        (-2, None, "<html lang=fr>"), (-3, "no scheme", None), (-4, "http://a.example.fr/", "<p>" + FOREIGN[0] + "</p>"),
+    ], pages.schema)
+    got = {r["page_id"]: r for r in langid.page_languages(pages.unionByName(extra).withColumn("posterior", F.lit(1)), model).collect()}
+    assert len(got) == pages.count() + 4
+    assert np.mean([r["pred_lang"] == r["declared"] for i, r in got.items() if i >= 0]) > 0.8
+    assert (got[-1]["host"], got[-1]["declared"], got[-1]["pred_lang"]) == ("news.example.de", "de-AT", "de")
+    assert (got[-2]["host"], got[-2]["declared"], got[-2]["pred_lang"], got[-3]["pred_lang"]) == ("", "fr", None, None) and not got[-4]["accepted"]
+
+
+#: Texts in other scripts and languages, code, random letters.
+FOREIGN = (
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "def walk(xs, f):\n    out = []\n    for i, x in enumerate(xs):\n        if x is None: continue\n        out.append(f(x) ** 2)\n    return {k: v for k, v in out}",
+    "xkq zzv qwpt vbnm hjkl wrtz pqxj kkzv mnbq xcvz lkjh gfds qpwo zmxn",
+)
+
+
+def test_foreign_texts_and_code_are_not_accepted(spark, monkeypatch):
+    docs = table(spark, SF, "documents")
+    rows = docs.unionByName(spark.createDataFrame([(10**6 + i, t, "en", "src1", 1) for i, t in enumerate(FOREIGN)], docs.schema))
+    model = langid.train(docs, "text", "lang")
+    got = {}
+    for hosts in (langid.BROADCAST_HOSTS, 3):  # hosts broadcast, and joined
+        monkeypatch.setattr(langid, "BROADCAST_HOSTS", hosts)
+        out = langid.identify(rows, model, F.col("text"), declared=F.col("lang"), host=F.col("source")).collect()
+        got[hosts] = {r["doc_id"]: (r["pred_lang"], round(r["posterior"] or 0, 9), r["accepted"], r["text"]) for r in out}
+        assert all(x[:1] == ("other",) and not x[2] for i, x in got[hosts].items() if i >= 10**6)
+        assert np.mean([x[2] for i, x in got[hosts].items() if i < 10**6]) > 0.99
+    assert got[3] == got[langid.BROADCAST_HOSTS]
+    import corpus_pipeline as cp
+
+    # rows of a wrong label would train the model
+    rows = rows.withColumn("lang", F.when(F.col("doc_id") < 10**6, F.col("lang")))
+    assert {r["doc_id"] for r in cp.identify_language(spark, rows, SF).collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_fused_posterior_equals_brute_force(spark):
+    """Evidence, grouped priors of host, domain, suffix and corpus without the row's own share, fused in plain Python."""
+    model = langid.train(table(spark, SF, "documents"), "text", "lang")
+    docs = table(spark, SF, "documents").where("doc_id < 40").select("text", "lang").collect()
+    hosts = ["a.example.de", "b.example.de", "b.example.de", "c.other.fr", "d.uk", None]
+    rows = [(i, r["text"], [r["lang"], "fr", None, "xx"][i % 4], hosts[i % 6]) for i, r in enumerate(docs)] + [(98, "", "de", "d.uk"), (99, None, None, None)]
+    k = len(langid.LANGUAGES) + 1
+
+    def softmax(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    def likelihood(value, right):
+        out = np.zeros(k)
+        if value in langid.LANGUAGES:
+            out[:] = np.log((1 - right) / (k - 1))
+            out[langid.LANGUAGES.index(value)] = np.log(right)
+        return out
+
+    ev = {}
+    for i, text, lang, host in rows:
+        g = np.concatenate([np.empty(0, np.int64), *langid.trigrams(text)]).astype(int)
+        if len(g):
+            suffix = langid.SUFFIXES.get((host or "").rsplit(".", 1)[-1]) if "." in (host or "") else None
+            ev[i] = model[:, g].astype(float).mean(axis=1) * min(len(g), langid.EFFECTIVE) + likelihood(lang, langid.DECLARED_RIGHT) + likelihood(suffix, langid.SUFFIX_RIGHT)
+    first = {i: softmax(e) for i, e in ev.items()}
+    host = {i: h or "" for i, _, _, h in rows}
+    domain = {h: ".".join(h.split(".")[-2:]) for h in host.values()}
+    suffix = {h: h.rsplit(".", 1)[1] if "." in h else "" for h in host.values()}
+
+    def sums(key):
+        out = {}
+        for i, p in first.items():
+            n, c = out.get(key(host[i]), (0, np.zeros(k)))
+            out[key(host[i])] = n + 1, c + p
+        return out
+
+    by_host, by_domain, by_suffix, (n, c) = sums(lambda h: h), sums(lambda h: (domain[h], suffix[h])), sums(lambda h: suffix[h]), sums(lambda h: 0)[0]
+    world = (c + 1) / (n + k)
+    want = {}
+    for i, e in ev.items():
+        h, prior = host[i], world
+        for held in (by_suffix[suffix[h]], by_domain[domain[h], suffix[h]]):
+            prior = (held[1] + langid.KAPPA * prior) / (held[0] + langid.KAPPA)
+        n, c = by_host[h]
+        prior = (np.maximum(c - first[i], 0) + langid.KAPPA * prior) / (n - 1 + langid.KAPPA)
+        want[i] = softmax(e + np.log(prior))
+    df = spark.createDataFrame(rows, "i int, t string, d string, h string")
+    got = {r["i"]: r for r in langid.identify(df, model, F.col("t"), F.col("d"), F.col("h")).collect()}
+    for i in host:
+        if i in want:
+            assert abs(got[i]["posterior"] - want[i].max()) < 1e-5 and got[i]["pred_lang"] == (*langid.LANGUAGES, langid.OTHER)[int(want[i].argmax())]
+        else:
+            assert got[i]["pred_lang"] is None
 
 
 def test_pipeline_equals_brute_force(spark):
