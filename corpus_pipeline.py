@@ -10,21 +10,24 @@ from quaesta.llm.common import table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps rows whose text has a language, most probable by text, declaration and source."""
+    """Keeps rows whose text is most probably in one of the languages, by text and source. The labels train the model and are no evidence.
+
+    Rows of a null, empty or letterless text go, as do texts like no language; null ids and sources, repeated and very long rows are judged as any.
+    """
     model = langid.train(docs, "text", "lang")
-    out = langid.identify(docs, model, F.col("text"), declared=F.col("lang"), host=F.col("source"))
+    out = langid.identify(docs, model, F.col("text"), host=F.col("source"))
     return out.where("accepted").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group; rows without an id stay, rows that repeat an id are one."""
+    """Keeps the document of the smallest id of each group; rows without an id stay; of rows that repeat an id and a text one stays."""
     found = near_dup.near_duplicates(docs)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     # one row of each id that occurs more than once, without moving the texts of the others
     twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     left = docs.join(gone, "doc_id", "left_anti")
     once = left.join(twice, "doc_id", "left_anti")
-    return once.unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    return once.unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +45,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences, by id."""
+    """Pieces of packed sequences, by id. A null or empty text is its end id; rows of null or repeated ids are packed each on their own."""
     pieces = bm25_pack.pack_documents(docs)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
