@@ -11,7 +11,7 @@ probability 5e-8.
 Groups of copies stay linear: equal sets are one class; each class first confirms its
 best candidate among the smallest members of its buckets, which joins a group of
 near copies to one component; then buckets are searched for links between *different*
-components only. That search compares members within blocks of a bucket, all that pass
+components only. That search compares members within chunks of a bucket, first by their planes, then all that pass
 the estimate on their full sets, and returns a forest of links, so its results stay linear too. Where many texts share a bucket
 and are nearly but not quite similar, its comparisons are quadratic, as an exact result needs, and a member
 of a bucket of c chunks is sent to c tasks, so the rows moved for n of them are n * n / CHUNK.
@@ -32,6 +32,8 @@ N_HASH, BANDS, ROWS, BITS = 128, 32, 4, 4
 MAX_WORDS = 250_000
 #: Members of a bucket that are compared at once; a larger bucket is cut into chunks, and these are paired.
 CHUNK = 1024
+#: Shingles of a chunk, expected: bounds the bytes of full sets that a task holds.
+CHUNK_SHINGLES = 2_000_000
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 1 << 31, N_HASH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, N_HASH, dtype=np.uint32)
@@ -179,7 +181,7 @@ def near_duplicates(
 
     Rows with one doc_id are one document for linking. A row without words or text
     links with nothing and is its own component. A null doc_id never links: component
-    null, kept. Other columns of ``docs``, whatever their names, are ignored. An empty
+    null, kept. Of a very long text all shingles count (a task holds the sets of one pair of chunks, some CHUNK_SHINGLES each). Other columns of ``docs``, whatever their names, are ignored. An empty
     table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -195,14 +197,11 @@ def near_duplicates(
     of_class = classes.join(comp, F.col("rep") == F.col("id"), "left").select(
         "digest", F.coalesce("component", "rep").alias("of_class")
     )
-    return (
-        sig.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-        .select(
-            "doc_id", "n_shingles",
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id")).alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    out = sig.where("digest is not null").select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left").select("doc_id", "n_shingles", "of_class")
+    # rows without words meet no join: they would all wait at one null key
+    out = out.unionByName(sig.where("digest is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("of_class")))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _links(sig: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -238,23 +237,59 @@ def _links(sig: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataF
     mixed = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     open_ = written(members.join(mixed, "key", "left_semi").join(placed, "rep"), "open")
     # of each bucket the members with a likely partner in another component: rows, not pairs
-    x, y = (open_.select("key", *(F.col(o).alias(f"{o[0]}{i}") for o in ("rep", "n", "planes", "comp"))) for i in "ab")
-    y = y.withColumnRenamed("key", "other")
-    likely = x.join(y, (F.col("key") == F.col("other")) & (F.col("ca") != F.col("cb")) & sizes & (similar >= least), "left_semi")
-    likely = written(likely.select("key", F.col("ra").alias("rep")), "likely")
+    near = _dealt(open_.select("key", "rep", "comp", "n", "planes"), F.lit(0))
+    likely = written(near.select("key", "lo", "hi", "c", "rep", "comp", "n", "planes").mapInArrow(_likely(percent, least), "key long, rep long").distinct(), "likely")
     reps = written(likely.select("rep").distinct().join(placed, "rep"), "members")
     full = docs.join(reps.select(F.col("rep").alias("doc_id"), "digest"), "doc_id").select("doc_id", "digest", "text")
     full = full.mapInArrow(_full_sets(k), "rep long, digest binary, set binary")
     reps = written(reps.join(full, ["rep", "digest"]), "sets")
-    chunks = likely.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    dealt = likely.join(chunks, "key").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")))
-    dealt = dealt.select("key", "rep", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("o"))
-    dealt = dealt.select("key", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "c", "rep")
-    dealt = dealt.join(reps, "rep").select("key", "lo", "hi", "c", "rep", "comp", "planes", "bands", "set")
-    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    dealt = _dealt(likely.join(reps, "rep").select("key", "rep", "comp", "n", "planes", "bands", "set"), F.col("n"))
+    dealt = dealt.select("key", "lo", "hi", "c", "rep", "comp", "planes", "bands", "set")
     return first.unionByName(written(dealt.mapInArrow(_compare(percent, least), "a long, b long"), "links")), classes
 
 
+def _dealt(members: DataFrame, size) -> DataFrame:
+    """Members of buckets dealt to chunks (``c``) of CHUNK rows and CHUNK_SHINGLES of ``size``, each row once for every pair ``lo, hi`` of chunks that its own is in; one pair after the other."""
+    chunks = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(size) / CHUNK_SHINGLES)).alias("chunks"))
+    dealt = members.join(chunks, "key").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    dealt = dealt.withColumns({"lo": F.least("c", "o"), "hi": F.greatest("c", "o")}).drop("o", "chunks")
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+
+def _most_unequal(least: float) -> float:
+    """Unequal low bits of two signatures whose estimate is just ``least``."""
+    chance = 1.0 / (1 << BITS)
+    return N_HASH * (1 - (least * (1 - chance) + chance))
+
+
+def _likely(percent: int, least: float):
+    """Members with a likely partner of another component in the same pair of chunks."""
+    most = _most_unequal(least)
+
+    def run(batches):
+        import itertools
+
+        flat = (tuple(x.as_py() for x in r) for b in batches for r in zip(*b.columns, strict=True))
+        for (key, lo, hi), rows in itertools.groupby(flat, lambda r: r[:3]):
+            rows = list(rows)
+            chunk, rep, comp, size = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5, 6))
+            planes = np.array([r[7] for r in rows], np.int64).view(np.uint64).reshape(len(rows), BITS, N_HASH // 64)
+            hit = np.zeros(len(rows), bool)
+            for i in range(len(rows)):
+                if lo != hi and chunk[i] != lo:
+                    continue
+                j = np.nonzero((chunk == hi if lo != hi else np.arange(len(rows)) > i) & (comp != comp[i]))[0]
+                j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
+                j = j[np.bitwise_count(np.bitwise_or.reduce(planes[j] ^ planes[i], axis=1)).sum(axis=1) <= most + 1e-9]
+                hit[j] = True
+                hit[i] |= len(j) > 0
+            found = rep[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key, np.int64)), pa.array(found)], ["key", "rep"])
+
+    return run
+
+
 def _full_sets(k: int):
     """Full sets of the rows whose set has the wanted digest."""
 
@@ -292,8 +327,7 @@ def _compare(percent: int, least: float):
 
     A pair that shares several buckets is compared in the first.
     """
-    chance = 1.0 / (1 << BITS)
-    most_unequal = N_HASH * (1 - (least * (1 - chance) + chance))
+    most_unequal = _most_unequal(least)
 
     def group(rows):
         key, lo, hi = rows[0][:3]
