@@ -64,10 +64,17 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return F.lit(None).cast("struct<rule:string,action:string>") if out is None else out
 
 
-def node_of(url: Column) -> Column:
-    """Identity of a URL in the alias graph: host in lower case, no fragment."""
+def normal_url(url: Column) -> Column:
+    """A URL in the alias graph: scheme and host in lower case, no default port, no fragment."""
     bare = F.regexp_replace(url, r"(?s)#.*$", "")
-    return F.xxhash64(F.translate(F.regexp_extract(bare, r"(?s)^(.*?://[^/?]*)", 1), UPPER, LOWER), F.regexp_replace(bare, r"(?s)^.*?://[^/?]*", ""))
+    site = F.translate(F.regexp_extract(bare, r"(?s)^(.*?://[^/?]*)", 1), UPPER, LOWER)
+    site = F.regexp_replace(F.regexp_replace(site, r"^(http://[^:]*):80$", "$1"), r"^(https://[^:]*):443$", "$1")
+    return F.concat(site, F.regexp_replace(bare, r"(?s)^.*?://[^/?]*", ""))
+
+
+def node_of(url: Column) -> Column:
+    """A URL's number in the alias graph."""
+    return F.xxhash64(normal_url(url))
 
 
 _HREF = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
@@ -110,7 +117,8 @@ def url_verdicts(
 
     ``redirects``: further ``(src, dst)`` URLs. ``source`` says whether a rule, an alias
     or the default decided. A null URL or one without ``://`` has an empty host and path,
-    fits no rule and has no alias: allowed. Repeated rows are judged each; other columns
+    fits no rule and has no alias: allowed. Of rules of equal length the first by text decides. Texts of any length are searched whole. Dot
+    segments and ``base`` are not resolved. Repeated rows are judged each; other columns
     are ignored; an empty table gives no rows.
     """
     pages = pages.select(
@@ -128,10 +136,15 @@ def url_verdicts(
         .agg(F.max(F.col("action") == "allow").alias("allowed"))
         .select("component", F.when(F.col("allowed"), "allow").otherwise("block").alias("by_alias"))
     )
-    of_node = comp.join(said, "component").select("id", "by_alias")
+    # numbers are hashes: a page is an alias only if its URL is one of the graph's, too
+    known = ends.select("node", normal_url(F.col("url")).alias("normal")).distinct()
+    of_node = comp.join(said, "component").join(known, F.col("id") == F.col("node")).select("id", "normal", "by_alias")
     judged = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     judged = judged.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("id", F.when(F.col("r").isNull() & F.col("url").contains("://"), node_of(F.col("url"))))
-    return judged.join(of_node, "id", "left").select(
+    # only pages without a rule meet the aliases: all others would wait at one null key
+    open_ = judged.where("id is not null").withColumn("normal", normal_url(F.col("url"))).join(of_node, ["id", "normal"], "left").drop("normal")
+    ruled = judged.where("id is null").withColumn("by_alias", F.lit(None).cast("string"))
+    return open_.unionByName(ruled).select(
         "page_id", "host", "path", F.col("r.rule").alias("rule"),
         F.coalesce(F.col("r.action"), F.col("by_alias"), F.lit("allow")).alias("verdict"),
         F.when(F.col("r").isNotNull(), "rule").when(F.col("by_alias").isNotNull(), "alias").otherwise("default").alias("source"),
