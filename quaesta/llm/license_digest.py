@@ -45,21 +45,28 @@ KNOWN = (
 
 #: Known texts at most: their digests are literals of the plan and a broadcast table.
 MAX_KNOWN = 1000
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Lines shaped like notices: a sign or the word, then a year, a sign or "by"; running text that wraps at the word is none.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n(©]*((copyright[^\p{L}\p{N}\n(©]*)?(\(c\)|©)|copyright[^\p{L}\p{N}\n]*([0-9]{4}|by |yyyy|year)|all rights reserved)[^\n]*$"
+#: Titles that licence texts start with; fixed values.
+TITLE = r"^(the )?(mit license( mit)?|mit|isc license( isc)?|(new |simplified |modified )?bsd license|bsd [23] clause( new or revised| simplified)? license|zero clause bsd|bsd zero clause license) "
 
 
 def canonical_lines(text: Column) -> Column:
-    """Canonical text with its lines kept apart."""
+    """Lower case without notices; runs of anything but letters, digits and line ends are one space."""
     c = F.regexp_replace(F.lower(text), r"\r\n?", "\n")
     c = F.regexp_replace(c, "(?d)" + COPYRIGHT_LINE, "")
-    c = F.regexp_replace(c, r"[^\p{L}\p{N}\n]+", " ")
+    return F.regexp_replace(c, r"[^\p{L}\p{N}\n]+", " ")
+
+
+def spelled(c: Column) -> Column:
     for other, one in SPELLINGS:
         c = F.replace(c, F.lit(other), F.lit(one))
     return c
 
 
 def canonical(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+    """The entire text on one line, where words cut by a line's end meet, in one spelling and without its title."""
+    return F.regexp_replace(spelled(F.trim(F.regexp_replace(lines, r"[ \n]+", " "))), TITLE, "")
 
 
 def known_licenses(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
@@ -76,7 +83,7 @@ def scan_licenses(
 
     ``license_id``: the licence that the entire text is, else null; ``line_licenses``: sorted ids of licences that an
     entire line is. A null text has a null digest and no licences; an empty one, or one of copyright lines alone, has
-    the digest of the empty text and none either. Other columns are ignored, repeated rows are each returned, an empty
+    the digest of the empty text and none either. How a licence text is wrapped, and a title before it, make no difference. Other columns are ignored, repeated rows are each returned, an empty
     table gives no rows.
     """
     if len(known) > MAX_KNOWN:
@@ -87,6 +94,6 @@ def scan_licenses(
     text = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col).cast("string")).alias("lines"))
     text = text.select("doc_id", "lines", F.sha2(canonical(F.col("lines")), 256).alias("digest"))
     text = text.join(F.broadcast(hit), text["digest"] == hit["license_digest"], "left")
-    lines = F.filter(F.transform(F.split("lines", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("lines", "\n"), lambda x: spelled(F.trim(x))), lambda x: x != "")
     ids = F.filter(F.transform(lines, lambda x: F.try_element_at(of_line, F.sha2(x, 256))), lambda x: x.isNotNull())
     return text.select("doc_id", "digest", "license_id", F.coalesce(F.array_sort(F.array_distinct(ids)), F.array().cast("array<string>")).alias("line_licenses"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_digest import COPYRIGHT_LINE, KNOWN, SPELLINGS
+from .license_digest import COPYRIGHT_LINE, KNOWN, SPELLINGS, TITLE
 from .url_alias import LOWER, RULES, UPPER
 
 
@@ -104,21 +104,24 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN agg USING (doc_id) LEFT JOIN nears
 def _canonical_lines(c: str) -> str:
     c = f"regexp_replace(lower({c}), '\\r\\n?', chr(10), 'g')"
     c = f"regexp_replace({c}, {_text(COPYRIGHT_LINE)}, '', 'g')"
-    c = f"regexp_replace({c}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    return f"regexp_replace({c}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+
+
+def _spelled(c: str) -> str:
     for other, one in SPELLINGS:
         c = f"replace({c}, '{other}', '{one}')"
     return c
 
 
 def _canonical(c: str) -> str:
-    return f"trim(regexp_replace({c}, '[ \\n]+', ' ', 'g'))"
+    return f"regexp_replace({_spelled(f"trim(regexp_replace({c}, '[ \\n]+', ' ', 'g'))")}, {_text(TITLE)}, '')"
 
 
 OP8 = f"""
 WITH k AS (SELECT sha256({_canonical(_canonical_lines('t'))}) AS h, min(license_id) AS license_id
  FROM (VALUES {', '.join(f'({_text(i)}, {_text(t)})' for i, t in KNOWN)}) v(license_id, t) GROUP BY 1),
 d AS (SELECT doc_id, row_number() OVER () AS r, {_canonical_lines('text')} AS lines FROM documents),
-l AS (SELECT r, list_sort(list(DISTINCT license_id)) AS ids FROM (SELECT r, sha256(trim(unnest(string_split(lines, chr(10))))) AS h FROM d) JOIN k USING (h) GROUP BY r)
+l AS (SELECT r, list_sort(list(DISTINCT license_id)) AS ids FROM (SELECT r, sha256({_spelled('trim(line)')}) AS h FROM (SELECT r, unnest(string_split(lines, chr(10))) AS line FROM d)) JOIN k USING (h) GROUP BY r)
 SELECT doc_id, sha256({_canonical('lines')}) AS digest, license_id, coalesce(ids, []) AS line_licenses
 FROM d LEFT JOIN k ON k.h = sha256({_canonical('lines')}) LEFT JOIN l USING (r)
 """

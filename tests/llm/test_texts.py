@@ -196,3 +196,18 @@ def test_licences_match_in_any_spelling(spark):
     assert len(got) == len(rows)
     assert by[1][0] == by[2][0] == "MIT" and by[3][0] is None and by[4] == (None, ["MIT"]) and by[5] == by[6] == by[7] == by[None] == (None, []) and by[8] == ("MIT", ["MIT"])
     assert [r["digest"] for r in got if r["doc_id"] == 5] == [None] and license_digest.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_licence_texts_are_known_however_they_are_wrapped(spark):
+    import textwrap
+
+    rows, want = [], []
+    for name, text in license_digest.KNOWN[:5]:
+        for width in (*range(55, 100, 3), 10**6):
+            wrapped = "\n".join(textwrap.fill(part, width, break_on_hyphens=True) for part in text.split("\n"))
+            head = {"MIT": "MIT License", "ISC": "ISC License", "0BSD": "Zero-Clause BSD", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License"}[name]
+            rows += [(len(rows), wrapped), (len(rows) + 1, f"{head}\n\nCopyright (c) 2020-2024 Some One <a@b.example>\nAll rights reserved.\n\n{wrapped}\n")]
+            want += [name, name]
+    rows += [(len(rows), "copyright holders said so\n(c) 2020 x\ncopyright 1999 y\n© z"), (len(rows) + 1, "copyright holders said so")]
+    got = license_digest.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["license_id"] for r in got[:-2]] == want and got[-1]["digest"] == got[-2]["digest"] and got[-1]["license_id"] is None
