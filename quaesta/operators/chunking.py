@@ -1,7 +1,8 @@
-"""Sections of Markdown bodies and chunks of sections: one row per document in, no shuffle."""
+"""Sections of Markdown bodies and chunks of sections: one Arrow function over each document's own text, linear in its lines, and no shuffle."""
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
@@ -14,35 +15,44 @@ from ..config import CHUNK_MAX_CHARACTERS, CHUNK_OVERLAP_CHARACTERS
 from ..functions import text as tx
 from ..schema import CHUNK_COLUMNS
 
+_HEADING = re.compile(tx.HEADING)
+_WS = re.compile(f"[{tx.WS}]+")
+_BLANK = "".join(c for c in map(chr, range(0x3001)) if _WS.fullmatch(c))
+_SECTION = T.StructType([T.StructField("title", T.StringType()), T.StructField("path", T.ArrayType(T.StringType())), T.StructField("content", T.StringType())])
+_CHUNK = T.StructType([T.StructField("title", T.StringType()), T.StructField("path", T.ArrayType(T.StringType())), T.StructField("text", T.StringType())])
 
-def with_sections(docs: DataFrame, body: Column, name: str) -> DataFrame:
-    """``docs`` with an array of ``(title, path, content)``: the body under each heading, without blank ones and without what precedes the first.
-
-    A heading's path are the headings before it that no later heading of its own or a
-    higher rank has closed. Lines are looked at once, in columns of their own; the rest is work on headings.
-    """
-    docs = docs.withColumn("__lines", tx.split_lines(body))
-    numbered = F.transform("__lines", lambda line, i: F.struct(i.alias("i"), line.alias("line")))
-    heads = F.transform(
-        F.filter(numbered, lambda x: x["line"].startswith("#") & (tx.heading_level(x["line"]) > 0)),
-        lambda x: F.struct(x["i"].alias("i"), tx.heading_level(x["line"]).alias("level"), tx.heading_title(x["line"]).alias("title")),
-    )
-    docs = docs.withColumn("__heads", heads)
-    start = F.array().cast("array<array<struct<level:int,title:string>>>")
 
-    def push(stacks, h):
-        top = F.coalesce(F.try_element_at(stacks, F.lit(-1)), F.array().cast("array<struct<level:int,title:string>>"))
-        return F.concat(stacks, F.array(F.concat(F.filter(top, lambda e: e["level"] < h["level"]), F.array(F.struct(h["level"].alias("level"), h["title"].alias("title"))))))
+def sections(body: str) -> list[tuple[str, list[str], str]]:
+    """``(title, path, content)`` of each heading whose body is not blank; what precedes the first heading is left out.
 
-    docs = docs.withColumn("__stacks", F.aggregate("__heads", start, push))
+    A heading's path are the headings before it that no later heading of its own or a higher rank has closed, and itself.
+    """
+    found, open_, lines = [], [], body.splitlines()
+    held: list[tuple[int, list[str]]] = []
+    for i, line in enumerate(lines):
+        h = _HEADING.match(line) if line.startswith("#") else None
+        if h:
+            level = len(h[1])
+            while open_ and open_[-1][0] >= level:
+                open_.pop()
+            open_.append((level, h[2]))
+            held.append((i, [t for _, t in open_]))
+    ends = [*(i for i, _ in held[1:]), len(lines)]
+    for (i, path), end in zip(held, ends, strict=False):
+        content = "\n".join(lines[i + 1 : end]).strip(_BLANK)
+        if content:
+            found.append((path[-1], path, content))
+    return found
+
+
+@F.pandas_udf(T.ArrayType(_SECTION))
+def _sections(bodies: pd.Series) -> pd.Series:
+    return bodies.map(lambda b: None if b is None else [dict(zip(("title", "path", "content"), s, strict=True)) for s in sections(b)])
 
-    def one(head, k):
-        end = F.coalesce(F.get("__heads", k + 1)["i"], F.size("__lines"))
-        content = F.array_join(F.slice("__lines", head["i"] + 2, end - head["i"] - 1), "\n")
-        path = F.transform(F.get("__stacks", k), lambda e: e["title"])
-        return F.struct(head["title"].alias("title"), path.alias("path"), F.regexp_replace(content, f"^[{tx.WS}]+|[{tx.WS}]+$", "").alias("content"))
 
-    return docs.withColumn(name, F.filter(F.transform("__heads", one), lambda s: s["content"] != "")).drop("__lines", "__heads", "__stacks")
+def with_sections(docs: DataFrame, body: Column, name: str) -> DataFrame:
+    """``docs`` with an array of ``(title, path, content)``: the body under each heading (see ``sections``); null for a null body."""
+    return docs.withColumn(name, _sections(body))
 
 
 def split_words(text: str, most: int = CHUNK_MAX_CHARACTERS, overlap: int = CHUNK_OVERLAP_CHARACTERS) -> list[str]:
@@ -76,27 +86,37 @@ def splitter(most: int, overlap: int):
     return split
 
 
+def chunker(most: int, overlap: int):
+    """A column function: body to the chunks of all its sections, in order; each starts from its section's path and text, white space normalised."""
+
+    @F.pandas_udf(T.ArrayType(_CHUNK))
+    def chunks(bodies: pd.Series) -> pd.Series:
+        def one(body):
+            out = []
+            for title, path, content in sections(body or ""):
+                text = _WS.sub(" ", " > ".join(path) + "\n\n" + content).strip(" ")
+                out += [{"title": title, "path": path, "text": part} for part in split_words(text, most, overlap)]
+            return out
+
+        return bodies.map(one)
+
+    return chunks
+
+
 def chunk_documents(docs: DataFrame, most: int = CHUNK_MAX_CHARACTERS, overlap: int = CHUNK_OVERLAP_CHARACTERS) -> DataFrame:
     """Chunks (16 columns) of documents with metadata columns and ``raw_text``; a document without a usable section fails.
 
     The running number counts a document's chunks over all its sections.
     """
-    found = with_sections(docs, F.col("raw_text"), "__s")
+    if most < 1 or overlap < 0:
+        raise ValueError("a chunk has characters, an overlap is not negative")
+    found = docs.withColumn("__c", chunker(most, overlap)("raw_text"))
     none = F.raise_error(F.concat(F.lit("no Markdown section with content in "), F.col("document_id"))).cast("boolean")
-    found = found.select("*", F.posexplode_outer("__s").alias("__k", "__sec"))
-    found = found.where(F.when(F.col("__sec").isNotNull(), F.lit(True)).otherwise(none))
-    text = tx.normalize_whitespace(F.concat(F.array_join("__sec.path", " > "), F.lit("\n\n"), F.col("__sec.content")))
-    found = found.withColumn("__parts", splitter(most, overlap)(text))
-    # numbers of a document's sections are one running sum over its few sections, so one window on the key suffices
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("document_id").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("__first", F.coalesce(F.sum(F.size("__parts")).over(before), F.lit(0)))
-    found = found.select("*", F.posexplode("__parts").alias("__i", "text"))
-    index = (F.col("__first") + F.col("__i")).cast("int")
+    found = found.where(F.when(F.size("__c") > 0, F.lit(True)).otherwise(none))
+    found = found.select("*", F.posexplode("__c").alias("__i", "__p"))
     return found.select(
-        F.concat_ws(":", "document_id", tx.slugify(F.array_join("__sec.path", "-")), F.format_string("%03d", index)).alias("chunk_id"),
+        F.concat_ws(":", "document_id", tx.slugify(F.array_join("__p.path", "-")), F.format_string("%03d", F.col("__i"))).alias("chunk_id"),
         "document_id", F.col("title").alias("document_name"), "document_type", "coverage", "jurisdiction", "language", "version", "effective_date",
-        F.col("__sec.title").alias("section_title"), F.col("__sec.path").alias("section_path"), F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"),
-        index.alias("chunk_index"), "text", tx.content_hash(F.col("text")).alias("content_hash"),
+        F.col("__p.title").alias("section_title"), F.col("__p.path").alias("section_path"), F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"),
+        F.col("__i").alias("chunk_index"), F.col("__p.text").alias("text"), tx.content_hash(F.col("__p.text")).alias("content_hash"),
     ).select(*CHUNK_COLUMNS)
