@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from ..schema import HIT_COLUMNS
 BLOCK = 2000
 #: Decimals of a score: products of one pair of vectors differ by less, whatever the batch.
 DIGITS = 12
+#: Hits whose ids are broadcast to the index at most.
+BROADCAST_HITS = 1_000_000
 
 
 def _best(block):
@@ -31,11 +34,14 @@ def _best(block):
         best: list[list[tuple[float, str]]] = [[] for _ in ids]
         for batch in batches:
             flat = batch.column(1)
-            keep = np.array([v.is_valid and len(v) == sizes for v in flat])
-            if not keep.any():
+            keep = pc.fill_null(pc.equal(pc.list_value_length(flat), sizes), False)
+            held = flat.filter(keep)
+            if not len(held):
                 continue
+            keep = keep.to_numpy(zero_copy_only=False)
             names = np.array(batch.column(0).to_pylist(), object)[keep]
-            x = np.array([v.as_py() for v, k in zip(flat, keep, strict=True) if k], np.float64)
+            # a null number becomes NaN, and its vector has no finite norm
+            x = held.flatten().to_numpy(zero_copy_only=False).reshape(-1, sizes)
             norm = np.sqrt((x * x).sum(axis=1))
             fields = [np.array(batch.column(2 + j).to_pylist(), object)[keep] for j in range(len(FILTER_FIELDS))]
             for f, members in groups.items():
@@ -102,7 +108,9 @@ def ranked_ids(queries: DataFrame, index: DataFrame, min_score: float = MIN_RETR
 def search(queries: DataFrame, index: DataFrame, min_score: float = MIN_RETRIEVAL_SCORE, top_k: int = TOP_K) -> DataFrame:
     """Hits with the passages' columns (14 and ``query_id``)."""
     ids = ranked_ids(queries, index, min_score, top_k)
-    return ids.join(index.drop("score", "rank"), "chunk_id").select("query_id", *HIT_COLUMNS)
+    most = queries.agg(F.sum("top_k").alias("n") if "top_k" in queries.columns else (F.count("*") * top_k).alias("n")).first()["n"] or 0
+    # few hits meet the index where it is; many are shuffled with it
+    return (F.broadcast(ids) if most <= BROADCAST_HITS else ids).join(index.drop("score", "rank"), "chunk_id").select("query_id", *HIT_COLUMNS)
 
 
 def results(queries: DataFrame, hits: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""The chunk index: versioned Parquet below one folder, with a pointer to the current version.
+"""The chunk index: numbered versions of Parquet below one folder; the highest whole one counts.
 
-A write makes a new version and then moves the pointer, so readers see all of it or
-nothing; there is one writer at a time. The folder may be in any Hadoop file system.
+A version is whole when Spark has committed it (its ``_SUCCESS`` file), so readers see all of a write or nothing, and a
+writer that dies leaves the version before. The version before the current one stays for readers that are at it, older ones and remains go.
+There is one writer at a time. The folder may be in any Hadoop file system.
 """
 
 from __future__ import annotations
@@ -29,26 +30,27 @@ class ChunkIndex:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _version(self) -> str | None:
+    def _versions(self) -> list[tuple[int, str, bool]]:
+        """``(number, name, whole)`` of the versions, in order."""
         fs, path = self._fs()
-        if not fs.exists(path(f"{self.root}/CURRENT")):
-            return None
-        rows = self.spark.read.text(f"{self.root}/CURRENT").collect()
-        return rows[0]["value"]
+        if not fs.exists(path(self.root)):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(path(self.root)) if f.getPath().getName().startswith("v-")]
+        return sorted((int(n.split("-")[1]), n, fs.exists(path(f"{self.root}/{n}/_SUCCESS"))) for n in names)
 
-    def _point_to(self, version: str) -> None:
-        fs, path = self._fs()
-        new = path(f"{self.root}/.CURRENT.{uuid.uuid4().hex}")
-        out = fs.create(new)
-        out.write(bytearray(version.encode()))
-        out.close()
-        fs.delete(path(f"{self.root}/CURRENT"), False)
-        fs.rename(new, path(f"{self.root}/CURRENT"))
+    def _version(self) -> str | None:
+        whole = [n for _, n, ok in self._versions() if ok]
+        return whole[-1] if whole else None
 
     def _write(self, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{version}")
-        self._point_to(version)
+        before = self._versions()
+        number = max((k for k, *_ in before), default=0) + 1
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.root}/v-{number:012d}-{uuid.uuid4().hex[:8]}")
+        fs, path = self._fs()
+        kept = [n for _, n, ok in before if ok][-1:]
+        for _, name, _ in before:
+            if name not in kept:
+                fs.delete(path(f"{self.root}/{name}"), True)
 
     @property
     def schema(self) -> str:
