@@ -1,6 +1,6 @@
 """Registered queries of the engine over the test tables, and the SQL they are held against.
 
-``embeddings`` plays the index (label: document), its first vectors the queries;
+``embeddings`` plays the index (label: document), every vector whose id is divisible by 20 a query;
 ``documents`` the texts to chunk, hash and normalise; ``benchmark`` the quotes.
 """
 
@@ -16,8 +16,10 @@ from ..functions.vectors import point_id
 from ..operators import chunking, evaluation, evidence, generation
 from ..operators.search import ranked_ids, results
 from ..operators.search import search as search_hits
+from ..schema import chunk_violations, metadata_violations
+from ..sources.markdown import parse_documents
 
-QUERIES, GATE, K = 30, 0.35, 5
+EVERY, GATE, K = 20, 0.35, 5
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +37,11 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, d: str, filtered: bool = False) -> DataFrame:
-    """The first vectors as queries; one passage more than wanted, as each finds itself."""
-    q = _t(spark, d, "embeddings").where(f"vec_id < {QUERIES}")
+    """Every vector whose id is divisible by 20, numbered ``n``; one passage more than wanted, as each finds itself."""
+    q = _t(spark, d, "embeddings").where(f"vec_id % {EVERY} = 0").withColumn("n", F.expr(f"vec_id div {EVERY}"))
     label = F.concat(F.lit("doc"), F.col("label").cast("string"))
     return q.select(
-        F.format_string("v%08d", "vec_id").alias("query_id"), "vec_id", "embedding", label.alias("doc"), F.concat(F.lit("Question "), F.col("vec_id").cast("string")).alias("query"),
+        F.format_string("v%08d", "vec_id").alias("query_id"), "vec_id", "n", "embedding", label.alias("doc"), F.concat(F.lit("Question "), F.col("vec_id").cast("string")).alias("query"),
         *([label.alias("coverage")] if filtered else []), F.lit(K + 1).alias("top_k"),
     )
 
@@ -77,7 +79,7 @@ def retrieval_sufficient(spark, d):
 
 def _findings(spark, d):
     return _queries(spark, d).select(
-        F.concat(F.lit("r"), F.expr("vec_id div 3").cast("string")).alias("request_id"), (F.col("vec_id") % 3).cast("int").alias("pos"), F.concat(F.lit("f"), F.col("vec_id").cast("string")).alias("supported_finding_id"), "query_id"
+        F.concat(F.lit("r"), F.expr("n div 3").cast("string")).alias("request_id"), (F.col("n") % 3).cast("int").alias("pos"), F.concat(F.lit("f"), F.col("vec_id").cast("string")).alias("supported_finding_id"), "query_id"
     )
 
 
@@ -101,7 +103,7 @@ def unresolved_findings(spark, d):
 
 
 def _cases(spark, d):
-    return _queries(spark, d).select(F.col("query_id").alias("case_id"), F.array("doc").alias("expected_document_ids"), (F.col("vec_id") % 5 != 4).alias("expect_retrieval"))
+    return _queries(spark, d).select(F.col("query_id").alias("case_id"), F.array("doc").alias("expected_document_ids"), (F.col("n") % 5 != 4).alias("expect_retrieval"))
 
 
 def eval_cases(spark, d):
@@ -133,12 +135,12 @@ def dedup_by_hash(spark, d):
 
 
 def slugify_titles(spark, d):
-    first = F.substring(F.element_at(F.split("text", "\n"), 1), 1, 80)
+    first = F.element_at(F.split("text", "\n"), 1)
     return _docs(spark, d).select("doc_id", tx.slugify(first).alias("slug"))
 
 
 def chunk_ids(spark, d):
-    slug = tx.slugify(F.substring(F.element_at(F.split("text", "\n"), 1), 1, 80))
+    slug = tx.slugify(F.element_at(F.split("text", "\n"), 1))
     return _docs(spark, d).select("doc_id", F.concat_ws(":", F.concat(F.lit("doc"), F.col("doc_id").cast("string")), slug, F.format_string("%03d", F.col("doc_id"))).alias("chunk_id"))
 
 
@@ -162,7 +164,7 @@ def citation_verify(spark, d):
     """Benchmark texts as quotes of the documents that hold them and of the next one; the quotes with other spaces and hyphens."""
     items = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
     docs = _docs(spark, d)
-    pairs = docs.join(F.broadcast(items), F.col("text").contains(F.col("quote"))).select("doc_id", "item_id") if _small(items) else None
+    pairs = _holding(docs, items)
     cites = pairs.unionByName(pairs.select((F.col("doc_id") + 1).alias("doc_id"), "item_id")).distinct()
     cites = cites.join(items, "item_id").join(docs, "doc_id")
     quote = F.replace(F.col("quote"), F.lit(" the "), F.lit("\u00a0the "))
@@ -180,12 +182,18 @@ def citation_verify(spark, d):
     return generation.verify_citations(answers, hits).select("query_id", "failure")
 
 
-def _small(items: DataFrame, most: int = 64 << 20) -> bool:
-    """Whether the quotes are few enough to broadcast; a larger set has to be looked up through an index."""
-    size = items.agg(F.sum(F.octet_length("quote"))).first()[0] or 0
-    if size > most:
-        raise ValueError(f"{size} bytes of quotes, more than {most}")
-    return True
+def _holding(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id, item_id`` where a document's text contains a quote: looked up by the quote's longest word between two spaces, then compared.
+
+    Such a word stands between two spaces in every text that holds the quote. A quote without one is compared with each text.
+    """
+    inner = F.filter(F.slice(F.split("quote", " "), 2, F.greatest(F.size(F.split("quote", " ")) - 2, F.lit(0))), lambda w: w != "")
+    named = items.withColumn("word", F.get(F.reverse(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), F.lit(0))["w"])
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    found = words.join(named.where("word is not null").select("word", "item_id"), "word").select("doc_id", "item_id")
+    found = found.join(items, "item_id").join(docs, "doc_id").where(F.col("text").contains(F.col("quote"))).select("doc_id", "item_id")
+    short = docs.join(named.where("word is null"), F.col("text").contains(F.col("quote"))).select("doc_id", "item_id")
+    return found.unionByName(short)
 
 
 def eval_text_normalize(spark, d):
@@ -193,15 +201,15 @@ def eval_text_normalize(spark, d):
 
 
 def term_constraints(spark, d):
-    """Documents as answers that must hold one term and must not hold another; every tenth failed."""
+    """Documents as answers that must hold one term and must not hold another, with two citations each; every tenth failed."""
     docs = _docs(spark, d)
     terms = lambda *ts: F.array(*map(F.lit, ts))
     cases = docs.select(
-        F.col("doc_id").cast("string").alias("case_id"), F.lit(True).alias("expected_grounded"), F.array().cast("array<string>").alias("expected_citation_document_ids"),
+        F.col("doc_id").cast("string").alias("case_id"), (F.col("doc_id") % 3 != 0).alias("expected_grounded"), terms("d0", "d1").alias("expected_citation_document_ids"),
         terms("The of", "in").alias("must_include_terms"), terms("de la", "Straße").alias("must_not_include_terms"),
     )
-    none = F.array().cast("array<struct<document_id:string>>")
-    response = F.struct(F.col("text").alias("answer"), (F.col("doc_id") % 4 != 0).alias("grounded"), none.alias("citations"))
+    cited = F.array(*(F.struct(F.concat(F.lit("d"), (F.col("doc_id") % k).cast("string")).alias("document_id")) for k in (4, 6)))
+    response = F.struct(F.col("text").alias("answer"), (F.col("doc_id") % 4 != 0).alias("grounded"), cited.alias("citations"))
     failed = F.col("doc_id") % 10 == 0
     answers = docs.select(F.col("doc_id").cast("string").alias("query_id"), F.when(~failed, response).alias("response"), F.when(failed, "failed").alias("error"))
     return evaluation.generation_cases(cases, answers)
@@ -222,6 +230,47 @@ def prompt_build(spark, d):
     return p.select("query_id", F.length("prompt").cast("long").alias("n_chars"), F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
+def eval_passages(spark, d):
+    r = evaluation.retrieval_cases(_cases(spark, d).withColumn("question", F.concat(F.lit("Question "), "case_id")), _hits(spark, d))
+    p = r.select("case_id", "question", F.array_join("expected_document_ids", ",").alias("expected"), F.inline("retrieved_passages"))
+    return p.select("case_id", "question", "expected", "rank", "chunk_id", "document_id", "section_title", F.round("score", 6).alias("score"))
+
+
+def ingest_chunks(spark, d):
+    """Documents as Markdown files with front matter: parsed, checked and chunked by section."""
+    number = F.col("doc_id").cast("string")
+    head = F.format_string('---\ndocument_id: d%s\ntitle: Doc %s\ndocument_type: procedure\ncoverage: cyber\njurisdiction: canada\nlanguage: en\nversion: "1.0"\neffective_date: 2026-01-01\nstatus: active\n---\n', number, number)
+    body = F.concat(F.lit("lead\n\n# Doc "), number, F.lit("\n\n## Part\nText. "), F.coalesce("text", F.lit("")), F.lit("\n\n### End\n\nDone."))
+    files = _docs(spark, d).select(number.alias("source_path"), F.concat(head, body).alias("value"))
+    c = chunking.chunk_documents(parse_documents(files), 1 << 30, 0)
+    return c.select("chunk_id", "document_id", "document_name", F.col("effective_date").cast("string").alias("effective_date"), F.array_join("section_path", " > ").alias("path"), F.col("chunk_index").cast("long").alias("chunk_index"), F.length("text").cast("long").alias("n_chars"), "content_hash")
+
+
+def metadata_checks(spark, d):
+    """Violations of metadata made from the documents' columns."""
+    m = _t(spark, d, "documents").select(
+        "doc_id", F.lit("d").alias("document_id"), F.when(F.col("doc_id") % 3 != 0, "t").otherwise("").alias("title"), F.when(F.col("doc_id") % 5 != 0, "procedure").otherwise("poem").alias("document_type"),
+        "source", F.col("source").alias("coverage"), F.when(F.col("doc_id") % 7 != 0, "canada").alias("jurisdiction"), F.col("lang").alias("language"), F.lit("1").alias("version"),
+        F.when(F.col("doc_id") % 11 != 0, F.to_date(F.lit("2026-01-01"))).alias("effective_date"), F.lit("active").alias("status"),
+    )
+    return m.select("doc_id", F.array_join(metadata_violations(), ",").alias("violations"))
+
+
+def chunk_checks(spark, d):
+    """Violations of chunks made from the documents' columns."""
+    c = _docs(spark, d).select(
+        "doc_id", F.when(F.col("doc_id") % 3 != 0, "c").otherwise("").alias("chunk_id"), F.lit("d").alias("document_id"), F.substring("text", 1, (F.col("doc_id") % 2).cast("int")).alias("text"),
+        (F.col("doc_id") % 5 - 1).alias("chunk_index"), F.sha2("text", 256).alias("content_hash"), (F.col("doc_id") % 4).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"),
+    )
+    return c.select("doc_id", F.array_join(chunk_violations(), ",").alias("violations"))
+
+
+def excerpts_and_places(spark, d):
+    """Excerpts of the documents and labels of their places."""
+    start = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 9 + 1)
+    return _docs(spark, d).select("doc_id", F.sha2(tx.excerpt(F.col("text")), 256).alias("excerpt_sha256"), tx.location_label(start, start + 1).alias("place"), tx.metric_label(F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") / 8.0)).alias("label"))
+
+
 def metadata_facets(spark, d):
     return _index(spark, d).groupBy("document_id").agg(F.count("*").alias("n"))
 
@@ -233,7 +282,7 @@ def exact_count(spark, d):
 _ALL = (
     vector_topk, vector_topk_filtered, relevance_gate, retrieval_sufficient, evidence_status, evidence_status_filtered, evidence_citations, unresolved_findings, eval_cases, eval_metrics,
     chunk_text, content_hashes, dedup_by_hash, slugify_titles, chunk_ids, point_ids, section_parse, citation_normalize, citation_verify, eval_text_normalize, term_constraint_cases,
-    generation_metrics, prompt_build, metadata_facets, exact_count,
+    generation_metrics, eval_passages, ingest_chunks, metadata_checks, chunk_checks, excerpts_and_places, prompt_build, metadata_facets, exact_count,
 )
 
 

@@ -14,7 +14,7 @@ from .operators.embed import Embedder
 from .operators.evidence import respond
 from .operators.search import search
 from .schema import query_violations, require
-from .sources.index import ChunkIndex, IndexMissing
+from .sources.index import ChunkIndex
 
 QUERY = "query_id string, query string, top_k int, " + ", ".join(f"{f} string" for f in FILTER_FIELDS)
 
@@ -59,7 +59,7 @@ class InvalidRequest(ValueError):
 def parse_request(body: dict) -> dict:
     if not isinstance(body, dict) or set(body) - {"request_id", "queries", "top_k", "filters"}:
         raise InvalidRequest("unknown or missing fields")
-    out = {"request_id": body.get("request_id"), "queries": body.get("queries"), "top_k": body.get("top_k", 3), "filters": body.get("filters") or {}}
+    out = {"request_id": body.get("request_id"), "queries": body.get("queries"), "top_k": body.get("top_k", 3), "filters": body.get("filters", {})}
     if not isinstance(out["request_id"], str) or not out["request_id"]:
         raise InvalidRequest("request_id is required")
     if not isinstance(out["queries"], list) or not 1 <= len(out["queries"]) <= 10:
@@ -68,8 +68,11 @@ def parse_request(body: dict) -> dict:
         raise InvalidRequest("top_k lies between 1 and 10")
     if not isinstance(out["filters"], dict) or set(out["filters"]) - set(FILTER_FIELDS):
         raise InvalidRequest("unknown filter")
+    if any(v is not None and not isinstance(v, str) for v in out["filters"].values()):
+        raise InvalidRequest("a filter is text")
     for q in out["queries"]:
-        if not isinstance(q, dict) or set(q) != {"supported_finding_id", "query"} or not q["supported_finding_id"] or len(q["query"]) < 3:
+        known = isinstance(q, dict) and set(q) == {"supported_finding_id", "query"} and all(isinstance(v, str) for v in q.values())
+        if not known or not q["supported_finding_id"] or len(q["query"]) < 3:
             raise InvalidRequest("a query has a finding id and at least 3 characters")
     return out
 
@@ -109,9 +112,9 @@ def handler(service) -> type[BaseHTTPRequestHandler]:
             try:
                 body = json.loads(self.rfile.read(int(self.headers.get("Content-Length", 0))))
                 self._send(200, retrieve_evidence(service, body))
-            except (InvalidRequest, json.JSONDecodeError) as e:
+            except (InvalidRequest, json.JSONDecodeError, UnicodeDecodeError) as e:
                 self._send(422, {"detail": str(e)})
-            except IndexMissing as e:
+            except RuntimeError as e:  # a missing index is one
                 self._send(503, {"detail": str(e)})
 
         def log_message(self, *args):

@@ -258,5 +258,70 @@ def test_streaming_ingest(spark, corpus, tmp_path):
     assert index.count() == 5
 
 
+def test_sections_are_linear_in_headings():
+    import time
+
+    def took(n):
+        body = "".join(f"{'#' * (1 + i % 6)} Heading {i}\nline {i}\n" for i in range(n))
+        began = time.process_time()
+        found = chunking.sections(body)
+        assert len(found) == n and found[-1][1][-1] == f"Heading {n - 1}" and len(found[-1][1]) == 1 + (n - 1) % 6
+        return time.process_time() - began
+
+    took(800)
+    assert took(80_000) < 40 * max(took(8000), 0.01)
+
+
+def test_a_broken_write_leaves_the_index_as_it_was(spark, app, tmp_path):
+    index = ChunkIndex(spark, f"file://{tmp_path}/index", dimensions=256)
+    with pytest.raises(IndexMissing):
+        index.read()
+    index.ensure()
+    chunks = app.index.read().drop("point_id")
+    index.upsert(chunks)
+    reader, n = index.read(), index.count()
+    with pytest.raises(Exception, match="has not 256"):
+        index.upsert(chunks.withColumn("embedding", F.array(F.lit(1.0))))
+    # a version that was begun and never committed
+    (tmp_path / "index" / index.name / "v-000000000099-dead").mkdir()
+    assert index.exists() and index.count() == n
+    index.ensure()
+    index.upsert(chunks.limit(1))
+    assert index.count() == n and reader.count() == n
+    names = [p.name for p in (tmp_path / "index" / index.name).iterdir() if p.name.startswith("v-")]
+    assert len(names) == 2 and all("dead" not in x for x in names)
+    index.recreate()
+    assert index.count() == 0
+
+
+@pytest.mark.parametrize("change", [{"queries": [{"supported_finding_id": "a", "query": 5}]}, {"queries": [{"supported_finding_id": 7, "query": "abc"}]}, {"filters": {"coverage": 5}}, {"filters": []}, {"filters": None}, {"top_k": True}, {"request_id": ""}])
+def test_requests_of_wrong_types_are_refused(change):
+    good = {"request_id": "r", "queries": [{"supported_finding_id": "a", "query": "abc"}], "filters": {"coverage": None}}
+    assert service.parse_request(good)["top_k"] == 3
+    with pytest.raises(service.InvalidRequest):
+        service.parse_request(good | change)
+
+
+def test_reports_and_answers_are_shown():
+    report = {"total_cases": 2, "macro_recall_at_k": 0.5, "mean_reciprocal_rank": None, "correct_abstention_rate": 1.0}
+    assert cli.show_report(report, "r.json", 5).splitlines() == ["Evaluation report written to: r.json", "Cases evaluated: 2", "Macro Recall@5: 0.500", "MRR: N/A", "Correct abstention rate: 1.000"]
+    g = {"grounded_answer_rate": 1.0, "correct_grounded_abstention_rate": None, "citation_document_precision": 0.25, "answer_constraint_pass_rate": None, "generation_errors": 1}
+    assert "Citation document precision: 0.250" in cli.show_report({**report, "generation": g}, "r.json", 5) and "Generation errors: 1" in cli.show_report({**report, "generation": g}, "r.json", 5)
+    shown = cli.show_answer(reply(citation(retrieval_score=0.5)))
+    assert "[flood:flood-water-damage:000]" in shown and "Document: Flood guide" in shown and 'Supporting quote: "Sudden water damage"' in shown and "Retrieval score: 0.500" in shown
+    args = cli.parser().parse_args(["--embedder", "model", "evaluate"])
+    assert args.embedder == "model" and args.cases and args.output
+
+
+def test_cases_tell_question_passages_and_answers(spark, app):
+    cases = spark.createDataFrame([("1", "water damage deductible", ["flood"], True, True, ["flood"], ["sudden"], [])], "case_id string, question string, expected_document_ids array<string>, expect_retrieval boolean, expected_grounded boolean, expected_citation_document_ids array<string>, must_include_terms array<string>, must_not_include_terms array<string>")
+    q = app.query_rows([{"query_id": "1", "query": "water damage deductible"}])
+    row = evaluation.retrieval_cases(cases, app.search(q)).first()
+    assert row["question"] == "water damage deductible" and row["retrieved_passages"][0].asDict().keys() == {"rank", "chunk_id", "document_id", "section_title", "score"}
+    assert row["retrieved_passages"][0]["document_id"] == "flood"
+    got = evaluation.generation_cases(cases, app.answer(q, generation.FixedClient(reply(citation())))).first()
+    assert (got["question"], got["answer"], got["confidence"], got["insufficient_context_reason"], got["expected_citation_document_ids"], got["must_include_terms"]) == ("water damage deductible", "Yes.", "high", None, ["flood"], ["sudden"])
+
+
 def test_normal_form_order():
     assert unicodedata.normalize("NFKC", "‑") == "‐"
