@@ -215,8 +215,9 @@ def _links(sig: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataF
     classes = written(classes, "classes")
     side = classes.select("rep", "digest", "n", "planes")
     members = classes.select("rep", F.explode("bands").alias("key"))
-    pivots = members.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    stars = members.join(pivots, "key").where("rep <> pivot").select("rep", "pivot").distinct()
+    # joins on a bucket meet a written table: then both sides are shuffled for the join, so that a large bucket is split
+    pivots = written(members.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1"), "pivots")
+    stars = members.join(pivots.select("key", "pivot"), "key").where("rep <> pivot").select("rep", "pivot").distinct()
 
     def known(c: str, x: str) -> DataFrame:
         return side.select(*(F.col(o).alias(p) for o, p in zip(("rep", "digest", "n", "planes"), (c, f"d{x}", f"n{x}", f"p{x}"), strict=True)))
@@ -234,7 +235,7 @@ def _links(sig: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataF
     placed = classes.select("rep", "digest", "n", "planes", "bands").join(comp, F.col("rep") == F.col("id"), "left")
     placed = written(placed.select("rep", "digest", "n", "planes", "bands", F.coalesce("component", "rep").alias("comp")), "placed")
     where = members.join(placed.select("rep", "comp"), "rep")
-    mixed = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    mixed = written(where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
     open_ = written(members.join(mixed, "key", "left_semi").join(placed, "rep"), "open")
     # of each bucket the members with a likely partner in another component: rows, not pairs
     near = _dealt(open_.select("key", "rep", "comp", "n", "planes"), F.lit(0))
@@ -251,7 +252,9 @@ def _links(sig: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataF
 def _dealt(members: DataFrame, size) -> DataFrame:
     """Members of buckets dealt to chunks (``c``) of CHUNK rows and CHUNK_SHINGLES of ``size``, each row once for every pair ``lo, hi`` of chunks that its own is in; one pair after the other."""
     chunks = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(size) / CHUNK_SHINGLES)).alias("chunks"))
-    dealt = members.join(chunks, "key").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    chunks = written(chunks.where("chunks > 1"), "chunks")
+    dealt = members.join(chunks, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     dealt = dealt.withColumns({"lo": F.least("c", "o"), "hi": F.greatest("c", "o")}).drop("o", "chunks")
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
